@@ -4,16 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import quality_rules
+from tilewright.llm import id_store, language_id, packing, quality_rules, token_counts
 from tilewright.llm.common import documents
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(documents(spark, sf_dir))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op8_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = id_store.write(documents(spark, sf_dir), id_store.new_root(spark))
+    return id_store.digest_rows(spark, root)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(docs)
+    return language_id.predict(docs.withColumn("held_out", language_id.held_out()), model, keep=("doc_id", "held_out"))
+
+
 def queries() -> dict:
-    return {"op4_quality_rules": op4_quality_rules}
+    found = (op2_token_counts, op4_quality_rules, op5_best_fit_packing, op8_id_store, op10_language_id)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
