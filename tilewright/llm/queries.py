@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tilewright.llm import id_store, language_id, packing, quality_rules, token_counts
+from tilewright.llm import decontaminate, html_text, id_store, language_id, packing, quality_rules, token_counts, url_filters
 from tilewright.llm.common import documents
 
 
@@ -16,15 +17,104 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(documents(spark, sf_dir))
 
 
+_STOPS = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+
+
+def _rule_sql(r: quality_rules.Rule) -> str:
+    sides = [f"{r.numerator} * 100 >= {r.denominator} * {r.low}"] * (r.low is not None) + [f"{r.numerator} * 100 <= {r.denominator} * {r.high}"] * (r.high is not None)
+    return f"(n_words < {r.from_words} OR ({' AND '.join(sides)}))"
+
+
+_WS = r"[\x20\x09-\x0D]"
+OP4_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, [x for x in regexp_split_to_array(t, '{_WS}+') if x <> ''] AS words,
+             [x for x in string_split(t, chr(10)) if regexp_replace(x, '{_WS}', '', 'g') <> ''] AS lines FROM d),
+wins AS (SELECT doc_id, i, array_to_string(words[i:i+7], ' ') AS win
+         FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM wins) WHERE n > 1),
+covered AS (SELECT doc_id, sum(least(8, coalesce(i - before, 8))) AS n
+            FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM again) GROUP BY doc_id),
+m AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+             CAST(length(regexp_replace(t, '{_WS}', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+             CAST(len(lines) AS BIGINT) AS n_lines,
+             CAST(len([x for x in words if lower(x) IN ({_STOPS})]) AS BIGINT) AS n_stop_words,
+             CAST(length(t) - length(replace(t, '!', '')) AS BIGINT) AS n_shouts
+      FROM w LEFT JOIN covered c ON c.doc_id = w.doc_id)
+SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND {' AND '.join(map(_rule_sql, quality_rules.RULES))} AS kept
+FROM m
+"""
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it holds."""
+    return decontaminate.overlaps(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(documents(spark, sf_dir, "pages"))
+
+
 def op8_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = id_store.write(documents(spark, sf_dir), id_store.new_root(spark))
     return id_store.digest_rows(spark, root)
 
 
+#: The log of a list for ``op9``: list, pattern, action, day counted from 2024-01-01.
+URL_EVENTS = (
+    ("spam", "spam-farm.example.org", "block", 0),
+    ("spam", "cheap-pills.example.com", "block", 40),
+    ("spam", "www.cheap-pills.example.com", "block", 90),
+    ("spam", "cheap-pills.example.com", "remove", 200),
+    ("spam", "example.net", "block", 120),
+    ("spam", "example.net", "remove", 180),
+    ("spam", "example.net", "block", 300),
+    ("spam", "tionsh.example.net", "allow", 310),
+    ("local", "blog.ththan.example.net/en", "block", 60),
+    ("local", "blog.ththan.example.net/en", "allow", 150),
+    ("local", "thther.example.org/en", "block", 10),
+    ("local", "thther.example.org", "allow", 5),
+)
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as captures; the day of a capture is fixed by its id."""
+    events = spark.createDataFrame(URL_EVENTS, "list string, pattern string, action string, at int")
+    captures = documents(spark, sf_dir, "pages").select("page_id", "url", F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int").alias("fetched_at"))
+    return url_filters.evaluate(captures, events)
+
+
+_EVENT_ROWS = ", ".join(f"('{a}', '{b}', '{c}', {d})" for a, b, c, d in URL_EVENTS)
+OP9_SQL = rf"""
+WITH events(list_name, pattern, action, on_day) AS (VALUES {_EVENT_ROWS}),
+valid AS (
+  SELECT * FROM (SELECT list_name, pattern, action, on_day AS valid_from, lead(on_day) OVER (PARTITION BY list_name, pattern ORDER BY on_day) AS valid_to FROM events)
+  WHERE action <> 'remove'),
+captures AS (
+  SELECT page_id, url, CAST((page_id * 37) % 366 AS INT) AS fetched_at,
+         lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+         regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path
+  FROM pages),
+hits AS (
+  SELECT c.page_id, v.pattern, v.action,
+         row_number() OVER (PARTITION BY c.page_id ORDER BY length(v.pattern) DESC, v.action DESC, v.pattern DESC) AS nth,
+         count(*) OVER (PARTITION BY c.page_id) AS n
+  FROM captures c JOIN valid v
+    ON (c.host = v.pattern OR ends_with(c.host, '.' || v.pattern) OR starts_with(c.host || c.path || '/', v.pattern || '/') AND contains(v.pattern, '/'))
+   AND c.fetched_at >= v.valid_from AND (v.valid_to IS NULL OR c.fetched_at < v.valid_to))
+SELECT c.page_id, c.url, coalesce(h.n, 0) AS n_matches, h.pattern, h.action, coalesce(h.action <> 'block', TRUE) AS kept
+FROM captures c LEFT JOIN hits h ON h.page_id = c.page_id AND h.nth = 1
+"""
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language_id.fit(docs)
@@ -32,9 +122,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op2_token_counts, op4_quality_rules, op5_best_fit_packing, op8_id_store, op10_language_id)
+    found = (op2_token_counts, op4_quality_rules, op5_best_fit_packing, op6_decontamination, op7_html_extraction, op8_id_store, op9_url_filters, op10_language_id)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality_rules": OP4_SQL, "op9_url_filters": OP9_SQL}
