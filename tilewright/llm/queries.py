@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import decontaminate, html_text, id_store, language_id, packing, quality_rules, token_counts, url_filters
+from tilewright.llm import decontaminate, html_text, id_store, language_id, near_dedup, packing, quality_rules, token_counts, url_filters
 from tilewright.llm.common import documents
 
 
@@ -17,6 +17,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(documents(spark, sf_dir))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), shingle=3, percent=85)
+
+
 _STOPS = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
 
 
@@ -122,7 +126,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op2_token_counts, op4_quality_rules, op5_best_fit_packing, op6_decontamination, op7_html_extraction, op8_id_store, op9_url_filters, op10_language_id)
+    found = (op2_token_counts, op3_near_dedup, op4_quality_rules, op5_best_fit_packing, op6_decontamination, op7_html_extraction, op8_id_store, op9_url_filters, op10_language_id)
     return {f.__name__: f for f in found}
 
 
