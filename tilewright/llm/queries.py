@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import decontaminate, html_text, id_store, language_id, near_dedup, packing, quality_rules, token_counts, url_filters
+from tilewright.llm import decontaminate, html_text, id_store, language_id, near_dedup, packing, quality_rules, suffix_dedup, token_counts, url_filters
 from tilewright.llm.common import documents
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
@@ -126,7 +130,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op2_token_counts, op3_near_dedup, op4_quality_rules, op5_best_fit_packing, op6_decontamination, op7_html_extraction, op8_id_store, op9_url_filters, op10_language_id)
+    found = (op1_suffix_dedup, op2_token_counts, op3_near_dedup, op4_quality_rules, op5_best_fit_packing, op6_decontamination, op7_html_extraction, op8_id_store, op9_url_filters, op10_language_id)
     return {f.__name__: f for f in found}
 
 
