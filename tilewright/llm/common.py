@@ -7,6 +7,7 @@ import functools
 import re
 import tempfile
 import uuid
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -80,12 +81,39 @@ _WS = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f
 _SEGMENT = re.compile(f" ?[^{_WS}]+|\\n(?=[^{_WS}])|[{_WS}]+[^{_WS}]*")
 
 
+# White space that plain text lacks: anything but single spaces and line feeds between words.
+_ODD = re.compile(f"[{_WS.replace(chr(92) + 'n', '').replace(' ', '')}]")
+
+
+def _segments(text: str) -> list[str]:
+    """The text in order as segments: a word stands for a space and itself, but for the first and for those that begin with white space.
+
+    Text with other white space than single spaces and line feeds between words
+    is cut by the pattern, and its segments are marked by a leading NUL.
+    """
+    if text[0] not in " \n" and text[-1] not in " \n" and "\0" not in text and "  " not in text and "\n\n" not in text and " \n" not in text and "\n " not in text and not _ODD.search(text):
+        out = text.replace("\n", " \n").split(" ")
+        out[0] = "\0" + out[0]
+        return out
+    return ["\0" + s for s in _SEGMENT.findall(text)]
+
+
+class _Words(dict):
+    """Ids by segment; a segment that it lacks is noted and gives None."""
+
+    def __init__(self):
+        self.lacking: list[str] = []
+
+    def __missing__(self, segment: str) -> None:
+        self.lacking.append(segment)
+
+
 class WordTokenizer:
     """Byte-level BPE ids of texts, each distinct word encoded once.
 
     ``encode(texts)`` gives one little-endian unsigned 32-bit ``bytes`` value
     for each text. Ids are those of the tokenizers library on the whole text.
-    The cache of words is dropped when it reaches ``max_words``.
+    The cache of words is dropped when it has ``max_words``.
     """
 
     def __init__(self, path: str, max_words: int = 1_000_000):
@@ -93,22 +121,26 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.ids: dict[str, bytes] = {}
+        self.ids = _Words()
         self.max_words = max_words
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        segments = [_SEGMENT.findall(t) if t else [] for t in texts]
-        new = set().union(*segments) - self.ids.keys() if segments else set()
-        if len(self.ids) + len(new) > self.max_words:
-            self.ids = {}
-            new = set().union(*segments)
-        words = list(new)
+        known = self.ids
+        if len(known) > self.max_words:
+            known.clear()
+        known.lacking = []
+        get, found, ends = known.__getitem__, [], []
+        for text in texts:
+            found.append(list(map(get, _segments(text))) if text else [])
+            ends.append(len(known.lacking))
+        words = list(dict.fromkeys(known.lacking))
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.ids[word] = np.asarray(e.ids, "<u4").tobytes()
-        get = self.ids.__getitem__
-        return [b"".join(map(get, s)) for s in segments]
+            plain = [s[1:] if s[0] == "\0" else s if s[0] == "\n" else " " + s for s in part]
+            for word, e in zip(part, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
+                known[word] = array("I", e.ids).tobytes()
+        late = map(get, known.lacking)
+        return [b"".join([x if x is not None else next(late) for x in ids] if a < b else ids) for ids, a, b in zip(found, [0, *ends], ends, strict=False)]
 
 
 @functools.cache
@@ -120,7 +152,7 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def slices(batch, most_bytes: int = 4_000_000, column: str = "text"):
+def slices(batch, most_bytes: int = 4_000_000, column: str | int = "text"):
     """Parts of an Arrow batch with about ``most_bytes`` of text each, one row at least."""
     import pyarrow.compute as pc
 

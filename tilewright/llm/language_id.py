@@ -168,15 +168,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``lang_pred`` and ``score`` beside the columns ``keep`` (default: the id) of every row."""
     keep = keep or (id_col,)
-    src = docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("_text"))
+    # The text crosses to Python once, also where it is among the columns to keep.
+    text = keep.index(text_col) if text_col in keep else len(keep)
+    src = docs.select(*[F.col(c) for c in keep], *([] if text < len(keep) else [F.col(text_col).cast("string").alias("_text")]))
     schema = src.select(*keep).schema.add("lang_pred", "string").add("score", "double")
     names = [*keep, "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages = np.asarray([*model.languages, UNKNOWN], object)
         for whole in batches:
-            for batch in slices(whole, 1_000_000, "_text"):
-                texts = batch.column("_text").to_pylist()
+            for batch in slices(whole, 1_000_000, text):
+                texts = batch.column(text).to_pylist()
                 best, score = np.full(len(texts), len(model.languages)), np.zeros(len(texts))
                 own = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model.languages else []
                 if own:

@@ -466,7 +466,7 @@ def _spans(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cut(joined: DataFrame, with_text: bool = False) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked for, the bytes kept."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked for, the text kept (a character cut in two goes)."""
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -502,18 +502,18 @@ def cut(joined: DataFrame, with_text: bool = False) -> DataFrame:
                     removed = int(gone.sum())
                     kept = packed.data[a:b][~gone].tobytes() if removed else packed.data[a:b].tobytes()
                     row = (doc, b - a, removed, len(_spans(gone)[0]) if removed else 0, hashlib.sha256(kept).hexdigest())
-                    rows.append((*row, kept) if with_text else row)
+                    rows.append((*row, kept.decode("utf-8", "ignore")) if with_text else row)
                     if len(rows) == 2048:
                         yield _batch(rows, names)
                         rows = []
                 if rows:
                     yield _batch(rows, names)
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
 
 
 def _batch(rows: list, names: list[str]) -> pa.RecordBatch:
-    types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+    types = [pa.int64()] * 4 + [pa.string(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], names=names)
 
 
