@@ -123,6 +123,34 @@ class WordTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.ids = _Words()
         self.max_words = max_words
+        self.sizes = self._token_sizes()
+
+    def _token_sizes(self) -> np.ndarray:
+        """Bytes of each token."""
+        out = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for piece, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            out[i] = len(piece)  # the vocabulary writes each byte as one character
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes new segments. Those that begin with white space are joined, since the
+        pre-tokenization cuts between them, and their ids are told apart by bytes."""
+        alone = [s for s in words if s[0] == "\0"]
+        for i in range(0, len(alone), 5000):
+            part = alone[i : i + 5000]
+            for word, e in zip(part, self.tokenizer.encode_batch_fast([s[1:] for s in part], add_special_tokens=False), strict=True):
+                self.ids[word] = array("I", e.ids).tobytes()
+        joined = [s for s in words if s[0] != "\0"]
+        for i in range(0, len(joined), 5000):
+            part = joined[i : i + 5000]
+            plain = [s if s[0] == "\n" else " " + s for s in part]
+            ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            at, ends = np.cumsum(self.sizes[ids]), np.cumsum([len(s.encode()) for s in plain])
+            cut = np.searchsorted(at, ends)
+            if not (at[cut] == ends).all():
+                raise ValueError("a token crosses two words")
+            raw, cuts = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()]
+            self.ids.update(zip(part, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         known = self.ids
@@ -133,12 +161,7 @@ class WordTokenizer:
         for text in texts:
             found.append(list(map(get, _segments(text))) if text else [])
             ends.append(len(known.lacking))
-        words = list(dict.fromkeys(known.lacking))
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            plain = [s[1:] if s[0] == "\0" else s if s[0] == "\n" else " " + s for s in part]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-                known[word] = array("I", e.ids).tobytes()
+        self._learn(list(dict.fromkeys(known.lacking)))
         late = map(get, known.lacking)
         return [b"".join([x if x is not None else next(late) for x in ids] if a < b else ids) for ids, a, b in zip(found, [0, *ends], ends, strict=False)]
 
