@@ -125,6 +125,11 @@ class WordTokenizer:
         self.max_words = max_words
         self.sizes = self._token_sizes()
 
+    def forget(self) -> None:
+        """Frees the words; workers outlive their tasks and would keep them beside those of others."""
+        self.ids.clear()
+        self.ids.lacking = []
+
     def _token_sizes(self) -> np.ndarray:
         """Bytes of each token."""
         out = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
@@ -168,7 +173,7 @@ class WordTokenizer:
 
 @functools.cache
 def word_tokenizer(path: str) -> WordTokenizer:
-    """One for each Python worker, so that its cache outlives a batch."""
+    """One for each Python worker; tasks call ``forget`` at their end."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -64,6 +64,12 @@ def cuts(ids: np.ndarray) -> list[int]:
     return [*ends, n]
 
 
+def _dicts(batch: pa.RecordBatch) -> Iterator[dict]:
+    names = batch.schema.names
+    for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        yield dict(zip(names, row, strict=True))
+
+
 def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=KEY).digest()
 
@@ -112,12 +118,13 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None
                     ends = cuts(ids)
                     body, wide = ids.tobytes(), ids.itemsize
                     parts = [body[a * wide : b * wide] for a, b in zip([0, *ends], ends, strict=False)]
-                    rows.append((doc, row, b"".join(digest(bytes([wide]) + p) for p in parts), np.diff([0, *ends]).tolist(), wide, body))
+                    rows.append((doc, row, b"".join(digest(bytes([wide]) + p) for p in parts), np.diff([0, *ends]).astype("<i4").tobytes(), wide, body))
                     row += 1
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.list_(pa.int32())), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.binary())], names=["doc_id", "row", "keys", "lengths", "wide", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.binary())], names=["doc_id", "row", "keys", "lengths", "wide", "ids"])
+        word_tokenizer(path).forget()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, row long, keys binary, lengths array<int>, wide int, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, row long, keys binary, lengths binary, wide int, ids binary")
 
 
 def write(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> str:
@@ -131,11 +138,12 @@ def write(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "t
     again = owners.where("n > 1").select("key", "o.*")
     held = places.join(again.select("key", F.col("doc_id").alias("o_doc"), F.col("row").alias("o_row"), F.col("nth").alias("o_nth")), "key")
     notes = held.groupBy("doc_id", "row").agg(F.collect_list(F.struct("nth", ((F.col("o_doc") == F.col("doc_id")) & (F.col("o_row") == F.col("row")) & (F.col("o_nth") == F.col("nth"))).alias("own"))).alias("notes"))
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("keys", "binary"), ("lengths", "array<int>"), ("wide", "int"), ("ids", "binary"))]
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("keys", "binary"), ("lengths", "binary"), ("wide", "int"), ("ids", "binary"))]
     notes = materialize(notes, "notes")
     kind = notes.schema["notes"].dataType
     both = notes.select("doc_id", "row", F.lit(0).alias("kind"), "notes", *none).unionByName(full.select("doc_id", "row", F.lit(1).alias("kind"), F.lit(None).cast(kind).alias("notes"), "keys", "lengths", "wide", "ids"))
-    total = full.agg(F.coalesce(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x) * wide")), F.lit(0))).first()[0]
+    # A chunk has about MEAN ids of two bytes.
+    total = full.agg(F.coalesce(F.sum(F.length("keys")) * (MEAN * 2 // KEY), F.lit(0))).first()[0]
     ordered = both.repartitionByRange(max(1, min(100_000, -(-total // PART_BYTES)) if total > PART_BYTES else 2), "doc_id").sortWithinPartitions("doc_id", "row", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,26 +151,26 @@ def write(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "t
 
         part, at, tree, listed, n_docs = TaskContext.get().partitionId(), 0, Merkle(), None, 0
         names = ["part", "doc_id", "row", "start", "n_tokens", "keys", "shared", "own_keys", "own_lengths", "wide", "ids", "leaf", "root"]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
         def batch_of(rows: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
         for batch in batches:
             rows, weight = [], 0
-            for x in batch.to_pylist():
+            for x in _dicts(batch):
                 if x["kind"] == 0:
                     listed = (x["doc_id"], x["row"], {n["nth"]: n["own"] for n in x["notes"]})
                     continue
                 note = listed[2] if listed and listed[:2] == (x["doc_id"], x["row"]) else {}
-                keys, lengths, wide, ids = x["keys"], x["lengths"], x["wide"], x["ids"]
-                ends = np.cumsum([0, *lengths])
+                keys, lengths, wide, ids = x["keys"], np.frombuffer(x["lengths"], "<i4"), x["wide"], x["ids"]
+                ends = [0, *np.cumsum(lengths).tolist()]
                 own = [i for i in range(len(lengths)) if note.get(i, True)]
                 body = ids if len(own) == len(lengths) else b"".join(ids[ends[i] * wide : ends[i + 1] * wide] for i in own)
                 leaf = digest(str(x["doc_id"]).encode() + b":" + keys)
                 tree.add(leaf)
-                rows.append((part, x["doc_id"], x["row"], at, int(ends[-1]), keys, bytes(2 if note.get(i) else 1 if i in note else 0 for i in range(len(lengths))), b"".join(keys[KEY * i : KEY * i + KEY] for i in own), [lengths[i] for i in own], wide, body, leaf, None))
-                at, n_docs, weight = at + int(ends[-1]), n_docs + 1, weight + len(body)
+                rows.append((part, x["doc_id"], x["row"], at, ends[-1], keys, bytes(2 if note.get(i) else 1 if i in note else 0 for i in range(len(lengths))), b"".join(keys[KEY * i : KEY * i + KEY] for i in own), lengths[own].tobytes(), wide, body, leaf, None))
+                at, n_docs, weight = at + ends[-1], n_docs + 1, weight + len(body)
                 if weight > 8 << 20:
                     yield batch_of(rows)
                     rows, weight = [], 0
@@ -171,7 +179,7 @@ def write(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "t
         if n_docs:
             yield batch_of([(part, None, n_docs, None, at, None, None, None, None, None, None, None, tree.root())])
 
-    out = ordered.mapInArrow(run, "part int, doc_id long, row long, start long, n_tokens long, keys binary, shared binary, own_keys binary, own_lengths array<int>, wide int, ids binary, leaf binary, root binary")
+    out = ordered.mapInArrow(run, "part int, doc_id long, row long, start long, n_tokens long, keys binary, shared binary, own_keys binary, own_lengths binary, wide int, ids binary, leaf binary, root binary")
     out.write.option("compression", "zstd").parquet(f"{root}/store")
     return root
 
@@ -201,7 +209,7 @@ def read(spark: SparkSession, root: str) -> DataFrame:
             for x in batch.to_pylist():
                 lent = {x["keys"][KEY * i : KEY * i + KEY] for i, f in enumerate(x["shared"]) if f == 2}
                 at = 0
-                for i, n in enumerate(x["own_lengths"]):
+                for i, n in enumerate(np.frombuffer(x["own_lengths"], "<i4").tolist()):
                     key = x["own_keys"][KEY * i : KEY * i + KEY]
                     if key in lent:
                         out.append((key, x["wide"], x["ids"][at : at + n * x["wide"]]))
@@ -221,10 +229,10 @@ def read(spark: SparkSession, root: str) -> DataFrame:
         for whole_batch in batches:
             for batch in slices(whole_batch, 4_000_000, "ids"):
                 out = []
-                for x in batch.to_pylist():
+                for x in _dicts(batch):
                     bodies = {bytes(o["key"]): (o["w"], o["body"]) for o in x["others"] or ()}
                     at = 0
-                    for i, n in enumerate(x["own_lengths"]):
+                    for i, n in enumerate(np.frombuffer(x["own_lengths"], "<i4").tolist()):
                         bodies[x["own_keys"][KEY * i : KEY * i + KEY]] = (x["wide"], x["ids"][at : at + n * x["wide"]])
                         at += n * x["wide"]
                     ids = []
