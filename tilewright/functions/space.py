@@ -81,16 +81,20 @@ def quadbin_parts(cell: Column) -> tuple[Column, Column, Column]:
 
 
 def hilbert(x: Column, y: Column, zoom: int) -> Column:
-    """Place of a tile on the Hilbert curve of its zoom. Unrolled over bits."""
-    h = F.lit(0).cast("long")
+    """Place of a tile on the Hilbert curve of its zoom: a fold over bits, so the expression stays small."""
+    if not zoom:
+        return F.lit(0).cast("long")
     last = (1 << zoom) - 1
-    for k in range(zoom - 1, -1, -1):
-        rx, ry = F.shiftright(x, k).bitwiseAND(1), F.shiftright(y, k).bitwiseAND(1)
-        h = h + (rx * 3).bitwiseXOR(ry).cast("long") * (1 << 2 * k)
-        flip = (ry == 0) & (rx == 1)
-        fx, fy = F.when(flip, last - x).otherwise(x), F.when(flip, last - y).otherwise(y)
-        x, y = F.when(ry == 0, fy).otherwise(fx), F.when(ry == 0, fx).otherwise(fy)
-    return h
+
+    def step(acc: Column, k: Column) -> Column:
+        rx, ry = F.call_function("shiftright", acc["x"], k).bitwiseAND(1), F.call_function("shiftright", acc["y"], k).bitwiseAND(1)
+        flip = rx == 1
+        fx, fy = F.when(flip, last - acc["x"]).otherwise(acc["x"]), F.when(flip, last - acc["y"]).otherwise(acc["y"])
+        weight = F.call_function("shiftleft", F.lit(1).cast("long"), k * 2)
+        return F.struct(F.when(ry == 0, fy).otherwise(acc["x"]).alias("x"), F.when(ry == 0, fx).otherwise(acc["y"]).alias("y"), (acc["h"] + (rx * 3).bitwiseXOR(ry) * weight).alias("h"))
+
+    start = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(0).cast("long").alias("h"))
+    return F.aggregate(F.sequence(F.lit(zoom - 1), F.lit(0)), start, step, lambda acc: acc["h"])
 
 
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tilewright.plans import profile, tiling
+from tilewright.plans import ordered, profile, shapes, tiling
 
-_GROUPS = (tiling, profile)
+_GROUPS = (tiling, profile, ordered, shapes)
 
 
 def queries() -> dict[str, Callable]:
