@@ -10,11 +10,15 @@ independent hashes; sets of similarity J share no band with probability
 
 Equal sets form one class, represented by its smallest doc_id. Documents that
 share a band are confirmed on their full sets, in two passes without listing
-all pairs of a bucket. First, each class with the smallest class of each of
-its buckets, the hub. Second, only classes that the first pass left in
-different components: since 1 - J is a metric, two members of a bucket whose
-distances to its hub differ by more than the limit cannot be linked, and sizes
-too far apart cannot either. Pairs within a component change nothing.
+all pairs of a bucket. First, each class x with the smallest class H of each of
+its buckets, the hub. Second, only members of one hub that the first pass left
+in different components; pairs within a component change nothing. If x and y
+share no shingle outside H, they have at most min(|x & H|, |y & H|) in common,
+and sizes alone tell whether that can be enough. If they do share some, the
+usual prefix filter finds the pair in an order that puts shingles outside H
+first: each x is listed under its first |x| - ceil(s |x|) + 1 shingles outside
+H (all of them if it has fewer). So every link between members of a bucket is
+in the first pass, within a component, or among the candidates of the second.
 
 Defined results: a document without words or text has an empty set, its own id
 as component and is kept. Fewer words than a shingle count as one shingle of
@@ -106,23 +110,24 @@ def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, both, either``: sizes of intersection and union for each pair, on the full sets."""
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b, both, either, n, few, extra`` for each pair, on the full sets: sizes of intersection and union, the size
+    of b, and b's prefix of shingles outside a (``few``: it has no more of them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both, either = [], []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                p, q = (p, q) if len(p) <= len(q) else (q, p)
-                at = np.searchsorted(q, p)
-                n = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                both.append(n)
-                either.append(len(p) + len(q) - n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "both", "either"])
+        for whole in batches:
+            for batch in slices(whole, 4_000_000, 3):
+                rows = []
+                for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                    p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    outside = q[p[np.minimum(np.searchsorted(p, q), len(p) - 1)] != q]
+                    n, prefix = len(q) - len(outside), len(q) - -(-percent * len(q) // 100) + 1
+                    rows.append((n, len(p) + len(q) - n, len(q), len(outside) <= prefix, outside[:prefix].view(np.int64)))
+                c = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c[i], pa.int64()) for i in range(3)), pa.array(c[3], pa.bool_()), pa.array(c[4], pa.list_(pa.int64()))], names=["a", "b", "both", "either", "n", "few", "extra"])
 
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias("s" + c)) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, both long, either long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, both long, either long, n long, few boolean, extra array<long>")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -131,30 +136,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = materialize(sketches(src, shingle), "sketches")
     classes = base.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "classes")
-    own = base.where("n > 0").select("doc_id", "n", "bands").join(classes.select(F.col("rep").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"])
-    rows = own.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("band"))
+    own = base.where("n > 0").select("doc_id", "bands").join(classes.select(F.col("rep").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"])
+    rows = own.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).where("members > 1").select("band", "hub")
-    member = materialize(rows.join(buckets, "band").select("band", "rep", "n", "hub"), "members")
-    pairs = materialize(member.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    member = materialize(rows.join(buckets, "band").select("rep", "hub").distinct(), "members")
+    pairs = member.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     ids = member.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialize(full_sets(src, ids, shingle).dropDuplicates(["doc_id"]), "sets")
-    stars = materialize(confirm(pairs, sets), "stars")
+    stars = materialize(confirm(pairs, sets, percent), "stars")
     linked = F.col("both") * 100 >= F.col("either") * percent
     links = stars.where(linked).select("a", "b")
     first = materialize(components(links), "components")
 
-    # Second pass: buckets whose members are still in different components.
-    found = stars.select(F.col("a").alias("hub"), F.col("b").alias("rep"), (1 - F.col("both") / F.col("either")).alias("d"))
-    placed = member.join(found, ["hub", "rep"], "left").join(first.withColumnRenamed("id", "rep"), "rep", "left")
-    placed = placed.select("band", "rep", "hub", "n", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component_id", "rep").alias("c"))
-    placed = materialize(placed, "placed")
-    split = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
-    left = placed.join(split, "band", "left_semi").where("rep <> hub")
-    near = F.abs(F.col("x.d") - F.col("y.d")) <= 1 - percent / 100 + 1e-9
-    sizes = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (F.col("x.c") < F.col("y.c"))
-    more = left.alias("x").join(left.alias("y"), F.col("x.band") == F.col("y.band")).where(near & sizes)
-    more = more.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    late = materialize(confirm(more, sets).where(linked).select("a", "b"), "late")
+    # Second pass: members of a hub that are still in different components.
+    spread = stars.join(first.withColumnRenamed("id", "b"), "b", "left").select("a", "b", "both", "n", "few", "extra", F.coalesce("component_id", "b").alias("c"))
+    spread = materialize(spread, "spread")
+    split = spread.groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("a")
+    left = materialize(spread.join(split, "a", "left_semi"), "split")
+    apart = (F.col("x.c") < F.col("y.c")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
+    ends = F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")
+    few = left.where("few").select("a", "b", "both", "n", "c")
+    enough = F.least("x.both", "y.both") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    inside = few.alias("x").join(few.alias("y"), F.col("x.a") == F.col("y.a")).where(apart & enough).select(*ends)
+    listed = left.select("a", "b", "n", "c", F.explode("extra").alias("s"))
+    outside = listed.alias("x").join(listed.alias("y"), (F.col("x.a") == F.col("y.a")) & (F.col("x.s") == F.col("y.s"))).where(apart).select(*ends)
+    more = materialize(inside.unionByName(outside).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+    late = materialize(confirm(more, sets, percent).where(linked).select("a", "b"), "late")
     if late.isEmpty():
         joined = first
     else:
