@@ -47,8 +47,8 @@ from tilewright.llm.words import _tables, mix, text_buffer
 SIZE = 50
 GRAM = 24
 REACH = SIZE - GRAM + 1
-RUN_BYTES = 12 << 20
-BUCKET_BYTES = 24 << 20
+RUN_BYTES = 8 << 20
+BUCKET_BYTES = 6 << 20
 _CHUNK = 1 << 20
 
 
