@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir). All but the last return the columns of
 ``documents``; a stage works on all that its predecessor kept. ``doc_id`` is the
-key of documents.
+key of documents. A stage's result is to be written before the next stage
+begins: intermediate tables of earlier stages are deleted then.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm import decontaminate, language_id, near_dedup, packing, suffix_dedup
-from tilewright.llm.common import SPACE, documents, materialize
+from tilewright.llm.common import SPACE, documents, materialize, release
 
 #: Language predictions below this score are rejected, as are texts without a letter.
 LEAST_SCORE = 0.4
@@ -19,6 +20,7 @@ LEAST_SCORE = 0.4
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, and those that fit no language, go."""
+    release()
     columns = tuple(docs.columns)
     judged = language_id.predict(docs, language_id.fit(docs), keep=columns)
     # Without any labelled text there is no language to reject by.
@@ -27,12 +29,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the document with the smallest id stays."""
+    release()
     kept = near_dedup.near_duplicates(docs, shingle=5, percent=80).where("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
 def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes in 50-byte strings of documents with smaller ids go; so do documents of which no word is left."""
+    release()
     cut = suffix_dedup.dedup(docs, with_text=True).select("doc_id", F.col("kept").alias("_kept"))
     cut = cut.where(F.btrim("_kept", F.lit(SPACE)) != "")
     joined = docs.drop("text").join(cut, "doc_id")
@@ -41,11 +45,14 @@ def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
+    release()
     leaks = decontaminate.overlaps(docs, documents(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences."""
+    release()
     return packing.pack(docs)
 
 
@@ -58,5 +65,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
     return docs

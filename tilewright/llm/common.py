@@ -31,29 +31,46 @@ def _local_dir() -> str:
 
 
 _written: list[tuple[SparkSession, str]] = []
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and return it as read back.
 
     This cuts the lineage: an executor lost later costs a re-read, not a
-    recomputation. Files are removed when the driver ends.
+    recomputation, and the shuffle files of the writing job are freed at its
+    end. The written files go at ``release()`` (unless ``keep``) or when the
+    driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    _written.append((spark, path))
+    before = spark.conf.get(_SHUFFLE_CLEANUP, "false")
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_SHUFFLE_CLEANUP, before)
+    (_kept if keep else _written).append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: list[tuple[SparkSession, str]] = []
+
+
+def release(paths: list[tuple[SparkSession, str]] | None = None) -> None:
+    """Deletes the intermediate tables written so far. Only for callers that have written what they made of them."""
+    paths = _written if paths is None else paths
+    while paths:
+        spark, path = paths.pop()
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for paths in (_written, _kept):
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            release(paths)
         except Exception:  # the session may be gone already
             return
 

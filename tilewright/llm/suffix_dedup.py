@@ -284,33 +284,45 @@ def encode_suffixes(right, right_n, left, left_n, docs) -> bytes:
     rest = right[(at >= shared[:, None]) & (at < right_n[:, None])]
     sides = left[np.arange(LEFT)[None, :] < left_n[:, None]]
     parts = [_pack(x) for x in (shared.astype(np.uint8), right_n.astype(np.uint8), left_n.astype(np.uint8), rest, sides, np.asarray(docs, np.int64))]
+    return _join(parts)
+
+
+def _join(parts: list[bytes]) -> bytes:
     return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
 
 
-def decode_suffixes(blob: bytes):
+def _split(blob: bytes) -> list[bytes]:
     parts, at = [], 0
     while at < len(blob):
         n = int.from_bytes(blob[at : at + 4], "little")
         parts.append(blob[at + 4 : at + 4 + n])
         at += 4 + n
+    return parts
+
+
+def decode_suffixes(blob: bytes):
+    parts = _split(blob)
     return (*(_unpack(p, np.uint8) for p in parts[:5]), _unpack(parts[5], np.int64))
 
 
 def run_suffixes(joined: DataFrame, n_buckets: int) -> DataFrame:
-    """``run, bucket, blob, holders``: front-coded suffixes, and the windows that hold each, for the run itself."""
+    """``run, bucket, blob``: front-coded suffixes for the merge; and with a null bucket one row a run for itself, in
+    ``blob`` the windows that hold each suffix, bucket by bucket in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 number, *packed = (batch.column(k)[i].as_py() for k in range(4))
                 replies = {x["bucket"]: x["shared"] for x in batch.column(4)[i].as_py() or ()}
+                held, schema = [], pa.schema([("run", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
                 for b, right, right_n, left, left_n, docs, lo, hi, entry in suffixes(Run.loads(*packed), replies, n_buckets):
                     order = np.argsort(entry, kind="stable")
-                    held = [_pack(x) for x in (entry[order].astype(np.uint32), lo[order].astype(np.int64), (hi - lo)[order].astype(np.uint8))]
-                    holders = b"".join(len(p).to_bytes(4, "little") + p for p in held)
-                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([b], pa.int32()), pa.array([encode_suffixes(right, right_n, left, left_n, docs)], pa.binary()), pa.array([holders], pa.binary())], names=["run", "bucket", "blob", "holders"])
+                    held.append(_join([np.int32(b).tobytes(), *(_pack(x) for x in (entry[order].astype(np.uint32), lo[order].astype(np.int64), (hi - lo)[order].astype(np.uint8)))]))
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([b], pa.int32()), pa.array([encode_suffixes(right, right_n, left, left_n, docs)], pa.binary())], schema=schema)
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([None], pa.int32()), pa.array([_join(held)], pa.binary())], schema=schema)
 
-    return joined.mapInArrow(run, "run long, bucket int, blob binary, holders binary")
+    return joined.mapInArrow(run, "run long, bucket int, blob binary")
 
 
 # --- step 3
@@ -454,7 +466,7 @@ def answers(encoded: DataFrame) -> DataFrame:
             out.append(_pack(found[index]))
         return pa.table({"run": table.column("run"), "bucket": table.column("bucket"), "smallest": pa.array(out, pa.binary())})
 
-    return encoded.select("run", "bucket", "blob").groupBy("bucket").applyInArrow(merge, "run long, bucket int, smallest binary")
+    return encoded.groupBy("bucket").applyInArrow(merge, "run long, bucket int, smallest binary")
 
 
 # --- step 4
@@ -474,14 +486,11 @@ def cut(joined: DataFrame, with_text: bool = False) -> DataFrame:
             for i in range(batch.num_rows):
                 packed = Run.loads(*(batch.column(k)[i].as_py() for k in range(1, 4)))
                 window = np.zeros(len(packed.data) + 1, np.int32)
-                for x in batch.column(4)[i].as_py() or ():
-                    parts, at = [], 0
-                    while at < len(x["holders"]):
-                        n = int.from_bytes(x["holders"][at : at + 4], "little")
-                        parts.append(x["holders"][at + 4 : at + 4 + n])
-                        at += 4 + n
+                found = {x["bucket"]: x["smallest"] for x in batch.column(4)[i].as_py() or ()}
+                for held in _split(batch.column(5)[i].as_py() or b""):
+                    number, *parts = _split(held)
                     entry, lo, more = _unpack(parts[0], np.uint32), _unpack(parts[1], np.int64), _unpack(parts[2], np.uint8).astype(np.int64)
-                    smallest = _unpack(x["smallest"], np.int64)
+                    smallest = _unpack(found.pop(int(np.frombuffer(number, np.int32)[0])), np.int64)
                     # All windows of a holder, from the last start (fewest bytes to the left) to the first.
                     heads = np.append(True, np.diff(entry) > 0)
                     first = np.cumsum((more + 1)[heads]) - (more + 1)[heads]
@@ -524,5 +533,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     runs = materialize(pack_runs(src, run_bytes), "runs")
     replies = shared_hashes(anchor_hashes(runs, n_buckets)).groupBy("run").agg(F.collect_list(F.struct("bucket", "shared")).alias("replies"))
     encoded = materialize(run_suffixes(runs.join(replies, "run", "left").select("run", "ids", "offsets", "data", "replies"), n_buckets), "suffixes")
-    found = answers(encoded).join(encoded.select("run", "bucket", "holders"), ["run", "bucket"]).groupBy("run").agg(F.collect_list(F.struct("holders", "smallest")).alias("found"))
-    return cut(runs.join(found, "run", "left").select("run", "ids", "offsets", "data", "found"), with_text)
+    found = answers(encoded.where("bucket IS NOT NULL")).groupBy("run").agg(F.collect_list(F.struct("bucket", "smallest")).alias("found"))
+    held = encoded.where("bucket IS NULL").select("run", F.col("blob").alias("held"))
+    return cut(runs.join(found, "run", "left").join(held, "run", "left").select("run", "ids", "offsets", "data", "found", "held"), with_text)
