@@ -58,6 +58,12 @@ def test_components(spark, seed, size, percent):
     assert got == brute(rows, size, percent)
 
 
+def test_rows_without_id(spark):
+    df = spark.createDataFrame([(None, "a b c d e f", 1, "x"), (None, "other words here", 1, "x"), (5, "a b c d e f", 1, "x")], SCHEMA)
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(None, 5, False), (None, None, True), (5, 5, True)], key=str)
+
+
 def test_empty_table(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 

@@ -15,7 +15,7 @@ is the smallest (doc_id, row) that holds it. Only keys and chunks that several
 documents share move between tasks beside the one range exchange that sorts.
 
 Defined results: a null or empty text is the end id alone. Rows with the same
-doc_id stay rows of their own, in one part. An empty table gives an empty
+doc_id stay rows of their own, in one part; rows without one come first. An empty table gives an empty
 store. Further input columns are ignored.
 """
 
@@ -136,8 +136,8 @@ def write(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "t
     owners = places.groupBy("key").agg(F.min(F.struct("doc_id", "row", "nth")).alias("o"), F.count("*").alias("n"))
     # Nearly all chunks are their holder's own; only chunks met again are listed for the writer, on their owner.
     again = owners.where("n > 1").select("key", "o.*")
-    held = places.join(again.select("key", F.col("doc_id").alias("o_doc"), F.col("row").alias("o_row"), F.col("nth").alias("o_nth")), "key")
-    notes = held.groupBy("doc_id", "row").agg(F.collect_list(F.struct("nth", ((F.col("o_doc") == F.col("doc_id")) & (F.col("o_row") == F.col("row")) & (F.col("o_nth") == F.col("nth"))).alias("own"))).alias("notes"))
+    held = places.join(again.select("key", F.col("row").alias("o_row"), F.col("nth").alias("o_nth")), "key")
+    notes = held.groupBy("doc_id", "row").agg(F.collect_list(F.struct("nth", ((F.col("o_row") == F.col("row")) & (F.col("o_nth") == F.col("nth"))).alias("own"))).alias("notes"))
     none = [F.lit(None).cast(t).alias(c) for c, t in (("keys", "binary"), ("lengths", "binary"), ("wide", "int"), ("ids", "binary"))]
     notes = materialize(notes, "notes")
     kind = notes.schema["notes"].dataType
@@ -219,11 +219,11 @@ def read(spark: SparkSession, root: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], names=["key", "w", "body"])
 
     lent = store.where("instr(hex(shared), '02') > 0").select("keys", "shared", "own_keys", "own_lengths", "wide", "ids").mapInArrow(lend, "key binary, w int, body binary")
-    wanted = store.where(borrows).select("doc_id", "row", F.explode(F.expr(f"array_distinct(transform(filter(sequence(0, length(shared) - 1), i -> substring(hex(shared), 2 * i + 1, 2) = '01'), i -> substring(keys, i * {KEY} + 1, {KEY})))")).alias("key"))
-    borrowed = wanted.join(lent, "key").groupBy("doc_id", "row").agg(F.collect_list(F.struct("key", "w", "body")).alias("others"))
+    wanted = store.where(borrows).select("row", F.explode(F.expr(f"array_distinct(transform(filter(sequence(0, length(shared) - 1), i -> substring(hex(shared), 2 * i + 1, 2) = '01'), i -> substring(keys, i * {KEY} + 1, {KEY})))")).alias("key"))
+    borrowed = wanted.join(lent, "key").groupBy("row").agg(F.collect_list(F.struct("key", "w", "body")).alias("others"))
     kind = borrowed.schema["others"].dataType
     whole = store.where(~borrows).select(*cols, F.lit(None).cast(kind).alias("others"))
-    mixed = store.where(borrows).select(*cols).join(borrowed, ["doc_id", "row"]).select(*cols, "others")
+    mixed = store.where(borrows).select(*cols).join(borrowed, "row").select(*cols, "others")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:

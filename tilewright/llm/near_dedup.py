@@ -23,6 +23,7 @@ in the first pass, within a component, or among the candidates of the second.
 Defined results: a document without words or text has an empty set, its own id
 as component and is kept. Fewer words than a shingle count as one shingle of
 the whole sequence. Rows that repeat a doc_id and its text repeat its result.
+A row without an id is kept only if no document with an id has its set.
 Further columns are ignored. An empty table gives an empty result.
 """
 
@@ -134,7 +135,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``doc_id, n_shingles, component_id, kept`` of every document; links have at least ``percent`` of 100 in common."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = materialize(sketches(src, shingle), "sketches")
-    classes = base.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("rep"))
+    classes = base.where("n > 0 AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "classes")
     own = base.where("n > 0").select("doc_id", "bands").join(classes.select(F.col("rep").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"])
     rows = own.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
@@ -169,4 +170,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     result = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("component_id", "rep").alias("component_id"))
     out = base.select("doc_id", "n", "print").join(result, "print", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))

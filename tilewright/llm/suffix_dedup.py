@@ -25,7 +25,7 @@ holders: a run sends any string once, however many of its documents hold it.
 
 Defined results: a null text is empty. Documents under 50 bytes lose nothing.
 Rows that repeat a doc_id are documents of their own: equal ids remove nothing
-from each other. Further columns are ignored. An empty table gives an empty
+from each other. Documents without an id come after all others. Further columns are ignored. An empty table gives an empty
 result.
 """
 
@@ -528,11 +528,12 @@ def _batch(rows: list, names: list[str]) -> pa.RecordBatch:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, run_bytes: int = RUN_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Removes every byte covered by a 50-byte string that also starts in a document with a smaller id."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    last = F.lit((1 << 63) - 1)
+    src = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n_buckets = max(1, -(-text_bytes(src) // bucket_bytes))
     runs = materialize(pack_runs(src, run_bytes), "runs")
     replies = shared_hashes(anchor_hashes(runs, n_buckets)).groupBy("run").agg(F.collect_list(F.struct("bucket", "shared")).alias("replies"))
     encoded = materialize(run_suffixes(runs.join(replies, "run", "left").select("run", "ids", "offsets", "data", "replies"), n_buckets), "suffixes")
     found = answers(encoded.where("bucket IS NOT NULL")).groupBy("run").agg(F.collect_list(F.struct("bucket", "smallest")).alias("found"))
     held = encoded.where("bucket IS NULL").select("run", F.col("blob").alias("held"))
-    return cut(runs.join(found, "run", "left").join(held, "run", "left").select("run", "ids", "offsets", "data", "found", "held"), with_text)
+    return cut(runs.join(found, "run", "left").join(held, "run", "left").select("run", "ids", "offsets", "data", "found", "held"), with_text).withColumn("doc_id", F.nullif("doc_id", last))
