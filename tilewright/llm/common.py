@@ -100,16 +100,20 @@ _SEGMENT = re.compile(f" ?[^{_WS}]+|\\n(?=[^{_WS}])|[{_WS}]+[^{_WS}]*")
 
 # White space that plain text lacks: anything but single spaces and line feeds between words.
 _ODD = re.compile(f"[{_WS.replace(chr(92) + 'n', '').replace(' ', '')}]")
+# A full stop or comma that does not follow a letter or digit.
+_LOOSE = re.compile(r"(?:^|[\W_])[.,]")
 
 
 def _segments(text: str) -> list[str]:
-    """The text in order as segments: a word stands for a space and itself, but for the first and for those that begin with white space.
+    """The text in order as segments: a word stands for a space and itself, but for those that begin with a line
+    feed, a full stop or a comma, which stand for themselves, as do segments marked by a leading NUL.
 
-    Text with other white space than single spaces and line feeds between words
-    is cut by the pattern, and its segments are marked by a leading NUL.
+    Text with other white space than single spaces and line feeds between words,
+    or with full stops or commas after other signs, is cut by the pattern.
     """
-    if text[0] not in " \n" and text[-1] not in " \n" and "\0" not in text and "  " not in text and "\n\n" not in text and " \n" not in text and "\n " not in text and not _ODD.search(text):
-        out = text.replace("\n", " \n").split(" ")
+    if text[0] not in " \n" and text[-1] not in " \n" and "\0" not in text and "  " not in text and "\n\n" not in text and " \n" not in text and "\n " not in text and not _ODD.search(text) and not _LOOSE.search(text):
+        # A stop or comma after a letter or digit begins a run of signs, so the pre-tokenization cuts before it.
+        out = text.replace(".", " .").replace(",", " ,").replace("\n", " \n").split(" ")
         out[0] = "\0" + out[0]
         return out
     return ["\0" + s for s in _SEGMENT.findall(text)]
@@ -143,7 +147,6 @@ class WordTokenizer:
         self.sizes = self._token_sizes()
 
     def forget(self) -> None:
-        """Frees the words; workers outlive their tasks and would keep them beside those of others."""
         self.ids.clear()
         self.ids.lacking = []
 
@@ -157,12 +160,12 @@ class WordTokenizer:
     def _learn(self, words: list[str]) -> None:
         """Encodes new segments. Those that begin with white space are joined, since the
         pre-tokenization cuts between them, and their ids are told apart by bytes."""
-        alone = [s for s in words if s[0] == "\0"]
+        alone = [s for s in words if s[0] in "\0.,"]
         for i in range(0, len(alone), 5000):
             part = alone[i : i + 5000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([s[1:] for s in part], add_special_tokens=False), strict=True):
+            for word, e in zip(part, self.tokenizer.encode_batch_fast([s.removeprefix("\0") for s in part], add_special_tokens=False), strict=True):
                 self.ids[word] = array("I", e.ids).tobytes()
-        joined = [s for s in words if s[0] != "\0"]
+        joined = [s for s in words if s[0] not in "\0.,"]
         for i in range(0, len(joined), 5000):
             part = joined[i : i + 5000]
             plain = [s if s[0] == "\n" else " " + s for s in part]
@@ -188,13 +191,23 @@ class WordTokenizer:
         return [b"".join([x if x is not None else next(late) for x in ids] if a < b else ids) for ids, a, b in zip(found, [0, *ends], ends, strict=False)]
 
 
-@functools.cache
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
 def word_tokenizer(path: str) -> WordTokenizer:
-    """One for each Python worker; tasks call ``forget`` at their end."""
+    """One for each Python worker, so that its words outlive a task."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return WordTokenizer(path)
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
+
+
+def forget_words() -> None:
+    """Frees the words that this worker knows from an earlier task; for tasks that do something else."""
+    for t in _tokenizers.values():
+        t.forget()
 
 
 def slices(batch, most_bytes: int = 4_000_000, column: str | int = "text"):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import default_tokenizer, materialize, shared_dir, slices, word_tokenizer
+from tilewright.llm.common import default_tokenizer, forget_words, materialize, shared_dir, slices, word_tokenizer
 
 END_ID = 2
 KEY = 16
@@ -122,7 +122,6 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None
                     row += 1
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.binary())], names=["doc_id", "row", "keys", "lengths", "wide", "ids"])
-        word_tokenizer(path).forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, row long, keys binary, lengths binary, wide int, ids binary")
 
@@ -149,6 +148,7 @@ def write(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        forget_words()
         part, at, tree, listed, n_docs = TaskContext.get().partitionId(), 0, Merkle(), None, 0
         names = ["part", "doc_id", "row", "start", "n_tokens", "keys", "shared", "own_keys", "own_lengths", "wide", "ids", "leaf", "root"]
         types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -204,6 +204,7 @@ def read(spark: SparkSession, root: str) -> DataFrame:
     cols = ["part", "doc_id", "row", "start", "keys", "own_keys", "own_lengths", "wide", "ids"]
 
     def lend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         for batch in batches:
             out = []
             for x in batch.to_pylist():
@@ -226,6 +227,7 @@ def read(spark: SparkSession, root: str) -> DataFrame:
     mixed = store.where(borrows).select(*cols).join(borrowed, "row").select(*cols, "others")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         for whole_batch in batches:
             for batch in slices(whole_batch, 4_000_000, "ids"):
                 out = []
@@ -280,6 +282,7 @@ def digest_rows(spark: SparkSession, root: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document as read back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         for batch in batches:
             raw = batch.column(3).to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64())], names=["part", "doc_id", "at", "n_tokens", "ids_crc32"])

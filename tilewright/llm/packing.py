@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import default_tokenizer, materialize, slices, word_tokenizer
+from tilewright.llm.common import default_tokenizer, forget_words, materialize, slices, word_tokenizer
 
 LIMIT = 2048
 END_ID = 0
@@ -54,7 +54,6 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                         rows.append((doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), block, seen[b - a]))
                         seen[b - a] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-        word_tokenizer(path).forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, PIECES)
 
@@ -187,6 +186,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         for batch in batches:
             length, rank = (batch.column(i).to_numpy() for i in (3, 5))
             seq, at = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
