@@ -103,9 +103,9 @@ def tile_bbox_prune(spark, d):
     return tiling.prune_box(tiling.index(tiling.place(src.points(spark, d), 5, DAY)), _BOX)
 
 
-@C.add("serve_tile", f"WITH {placed_sql(3, DAY)} SELECT feature_id, lon, lat, start_ms, event_type, value, zoom, x, y, bucket_ms FROM placed WHERE x = 4 AND y = 4 AND bucket_ms = {T0 + 3 * DAY}")
+@C.add("serve_tile", f"WITH {placed_sql(3, DAY)} SELECT feature_id, lon, lat, start_ms, event_type, value, zoom, x, y, bucket_ms FROM placed WHERE x = 6 AND y = 4 AND bucket_ms = {T0 + 3 * DAY}")
 def serve_tile(spark, d):
-    return tiling.serve(src.points(spark, d), 3, 4, 4, T0 + 3 * DAY, DAY).select("feature_id", "lon", "lat", "start_ms", "event_type", "value", "zoom", "x", "y", "bucket_ms")
+    return tiling.serve(src.points(spark, d), 3, 6, 4, T0 + 3 * DAY, DAY).select("feature_id", "lon", "lat", "start_ms", "event_type", "value", "zoom", "x", "y", "bucket_ms")
 
 
 _BROKEN = "CASE WHEN feature_id % 10 = 3 THEN 181.5 WHEN feature_id % 10 = 7 THEN CAST('NaN' AS DOUBLE) WHEN feature_id % 10 = 9 THEN NULL ELSE lon END"
