@@ -17,7 +17,10 @@ share no shingle outside H, they have at most min(|x & H|, |y & H|) in common,
 and sizes alone tell whether that can be enough. If they do share some, the
 usual prefix filter finds the pair in an order that puts shingles outside H
 first: each x is listed under its first |x| - ceil(s |x|) + 1 shingles outside
-H (all of them if it has fewer). So every link between members of a bucket is
+H (all of them if it has fewer). A pair found so is a candidate only if enough
+can be shared: at most min(|x & H|, |y & H|) inside H, and outside it at most
+the common bits of two 256-bit maps plus the shingles that one map merged into
+bits set already. So every link between members of a bucket is
 in the first pass, within a component, or among the candidates of the second.
 
 Defined results: a document without words or text has an empty set, its own id
@@ -112,8 +115,9 @@ def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b, both, either, n, few, extra`` for each pair, on the full sets: sizes of intersection and union, the size
-    of b, and b's prefix of shingles outside a (``few``: it has no more of them)."""
+    """``a, b, both, either, n, few, extra, bits, merged`` for each pair, on the full sets: sizes of intersection and
+    union, the size of b, b's prefix of shingles outside a (``few``: it has no more of them), the map of all of b's
+    shingles outside a, and how many of them set no bit of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -123,12 +127,14 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                     outside = q[p[np.minimum(np.searchsorted(p, q), len(p) - 1)] != q]
                     n, prefix = len(q) - len(outside), len(q) - -(-percent * len(q) // 100) + 1
-                    rows.append((n, len(p) + len(q) - n, len(q), len(outside) <= prefix, outside[:prefix].view(np.int64)))
+                    bits = np.zeros(256, bool)
+                    bits[(outside >> np.uint64(56)).astype(np.int64)] = True
+                    rows.append((n, len(p) + len(q) - n, len(q), len(outside) <= prefix, outside[:prefix].view(np.int64), np.packbits(bits).view(np.int64), len(outside) - int(bits.sum())))
                 c = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c[i], pa.int64()) for i in range(3)), pa.array(c[3], pa.bool_()), pa.array(c[4], pa.list_(pa.int64()))], names=["a", "b", "both", "either", "n", "few", "extra"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c[i], pa.int64()) for i in range(3)), pa.array(c[3], pa.bool_()), pa.array(c[4], pa.list_(pa.int64())), pa.array(c[5], pa.list_(pa.int64())), pa.array(c[6], pa.int64())], names=["a", "b", "both", "either", "n", "few", "extra", "bits", "merged"])
 
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias("s" + c)) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, both long, either long, n long, few boolean, extra array<long>")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, both long, either long, n long, few boolean, extra array<long>, bits array<long>, merged long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -150,17 +156,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = materialize(components(links), "components")
 
     # Second pass: members of a hub that are still in different components.
-    spread = stars.join(first.withColumnRenamed("id", "b"), "b", "left").select("a", "b", "both", "n", "few", "extra", F.coalesce("component_id", "b").alias("c"))
+    spread = stars.join(first.withColumnRenamed("id", "b"), "b", "left").select("a", "b", "both", "n", "few", "extra", "bits", "merged", F.coalesce("component_id", "b").alias("c"))
     spread = materialize(spread, "spread")
     split = spread.groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("a")
     left = materialize(spread.join(split, "a", "left_semi"), "split")
     apart = (F.col("x.c") < F.col("y.c")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
     ends = F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")
     few = left.where("few").select("a", "b", "both", "n", "c")
-    enough = F.least("x.both", "y.both") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    needed = (F.col("x.n") + F.col("y.n")) * percent
+    enough = F.least("x.both", "y.both") * (100 + percent) >= needed
     inside = few.alias("x").join(few.alias("y"), F.col("x.a") == F.col("y.a")).where(apart & enough).select(*ends)
-    listed = left.select("a", "b", "n", "c", F.explode("extra").alias("s"))
-    outside = listed.alias("x").join(listed.alias("y"), (F.col("x.a") == F.col("y.a")) & (F.col("x.s") == F.col("y.s"))).where(apart).select(*ends)
+    listed = left.select("a", "b", "both", "n", "c", "merged", *[F.col("bits")[i].alias(f"b{i}") for i in range(4)], F.explode("extra").alias("s"))
+    common = sum((F.bit_count(F.col(f"x.b{i}").bitwiseAND(F.col(f"y.b{i}"))) for i in range(4)), F.least("x.merged", "y.merged") + F.least("x.both", "y.both"))
+    outside = listed.alias("x").join(listed.alias("y"), (F.col("x.a") == F.col("y.a")) & (F.col("x.s") == F.col("y.s"))).where(apart & (common * (100 + percent) >= needed)).select(*ends)
     more = materialize(inside.unionByName(outside).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
     late = materialize(confirm(more, sets, percent).where(linked).select("a", "b"), "late")
     if late.isEmpty():
