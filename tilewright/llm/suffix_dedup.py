@@ -161,7 +161,9 @@ def pack_runs(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    return (h * np.uint64(n) >> np.uint64(48)).astype(np.int64) if n < 1 << 16 else (h % np.uint64(n)).astype(np.int64)
+    """Even buckets. Anchors are minima, so their own hashes crowd at the low end and are mixed again."""
+    even = mix(h)
+    return ((even >> np.uint64(16)) * np.uint64(n) >> np.uint64(48)).astype(np.int64) if n < 1 << 16 else (even % np.uint64(n)).astype(np.int64)
 
 
 def anchor_hashes(runs: DataFrame, n_buckets: int) -> DataFrame:
