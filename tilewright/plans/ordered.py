@@ -114,7 +114,18 @@ def as_of_join(spark, d):
 
 @C.add("interval_overlap", f"WITH {SPANS}, s AS (SELECT l_suppkey % 50 AS k, l_orderkey * 10 + l_linenumber AS id, start_ms, end_ms FROM spans WHERE l_orderkey % 40 = 0) SELECT a.k, a.id AS a, b.id AS b, greatest(a.start_ms, b.start_ms) AS start_ms, least(a.end_ms, b.end_ms) AS end_ms FROM s a JOIN s b ON a.k = b.k AND a.id < b.id AND a.start_ms <= b.end_ms AND b.start_ms <= a.end_ms")
 def interval_overlap(spark, d):
-    s = src.intervals(spark, d).where(F.col("l_orderkey") % 40 == 0).select((F.col("l_suppkey") % 50).alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "start_ms", "end_ms")
+    """Overlaps among the orders that the SQL compares, one in 40; ``interval_overlap_all`` joins all spans."""
+    return _overlaps(src.intervals(spark, d).where(F.col("l_orderkey") % 40 == 0))
+
+
+@C.add("interval_overlap_all")
+def interval_overlap_all(spark, d):
+    """Overlaps among all spans."""
+    return _overlaps(src.intervals(spark, d))
+
+
+def _overlaps(spans):
+    s = spans.select((F.col("l_suppkey") % 50).alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "start_ms", "end_ms")
     return joins.overlapping(s.withColumnRenamed("id", "a"), s.withColumnRenamed("id", "b"), "k", 30 * DAY).where("a < b")
 
 
