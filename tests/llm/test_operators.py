@@ -175,6 +175,42 @@ def test_plans_are_packings():
         assert sum(n for _, n in p) <= sum(n for _, n in packing.best_fit_decreasing(dict(counts), limit))
 
 
+def fewest_bins(items, limit):
+    """By trying every bin for every piece, largest first."""
+    best = len(items)
+
+    def put(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(items):
+            best = len(bins)
+            return
+        for room in {b for b in bins if b >= items[i]}:
+            rest = list(bins)
+            rest.remove(room)
+            put(i + 1, [*rest, room - items[i]])
+        put(i + 1, [*bins, limit - items[i]])
+
+    items = sorted(items, reverse=True)
+    put(0, [])
+    return best
+
+
+def test_plans_branch_over_fillings_of_equal_sum():
+    for n in (4, 40, 1000):
+        counts = {k: n for k in (900, 850, 800, 750, 700, 600, 448)} | {548: 2 * n}
+        assert sum(times for _, times in packing.plan(counts, 2048)) == 3 * n
+
+
+def test_plans_are_optimal_on_small_inputs():
+    rng = random.Random(5)
+    for _ in range(300):
+        limit = rng.choice([12, 20, 30])
+        items = [rng.randint(2, limit * 2 // 3) for _ in range(rng.randint(1, 11))]
+        assert sum(times for _, times in packing.plan(dict(Counter(items)), limit)) == fewest_bins(items, limit)
+
+
 def test_packing(spark, tokenizer):
     rows = ODD + [(20 + i, "lorem ipsum " * (i * 37 % 700)) for i in range(30)]
     got = packing.pack(docs(spark, rows)).collect()
