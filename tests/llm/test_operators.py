@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import itertools
 import random
 import re
 import zlib
@@ -252,6 +253,27 @@ def test_decontamination(spark):
         assert got == want
 
 
+def test_decontamination_of_short_items():
+    for n in range(1, 14):
+        item = [f"w{j}" for j in range(n)]
+        block = decontaminate.Block([7], [" ".join(item)])
+        for changed in range(min(n, 3) + 1):
+            texts = []
+            for places in itertools.combinations(range(n), changed):
+                own = ["x" if j in places else w for j, w in enumerate(item)]
+                texts += [" ".join(["a", "b", *own, "c"]), " ".join(own)]
+            words, at = word_hashes(*text_buffer(pa.array(texts)), "sign")
+            found = {d for d, i, shift in block.hits(words, at) if block.verify(words, at, d, i, shift)}
+            assert found == (set(range(len(texts))) if 100 * (n - changed) >= 80 * n else set()), (n, changed)
+
+
+def test_decontamination_of_short_items_in_tables(spark):
+    rows = [(1, "yes"), (2, "he said Yes, twice: yes"), (3, "one two three four"), (4, "one two x four"), (5, "a b c d e f"), (6, "a b X d e f!"), (7, "a b X d Y f")]
+    bench = spark.createDataFrame([(1, "yes"), (2, "One two three four"), (3, "a b c d e f"), (4, "...")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["n_item_words"], r["n_equal"]) for r in decontaminate.overlaps(docs(spark, rows), bench).collect()}
+    assert got == {(1, 1, 1, 1), (2, 1, 1, 1), (3, 2, 4, 4), (5, 3, 6, 6), (6, 3, 6, 5)}
+
+
 # --- 7
 
 

@@ -11,14 +11,17 @@ The benchmark is the stated query set. It is held in blocks of bounded size,
 and each block is matched against all documents, so its size is no limit.
 
 Words are runs of ASCII letters, digits and bytes beyond ASCII, A-Z as a-z.
-Defined results: null and empty texts and items of fewer than ``LEAST_WORDS``
-words match nothing. Items shorter than a mask use their first and last words
-through shorter masks. Equal items are reported one by one. Repeated document
-rows are reported one by one. Further columns are ignored.
+Items of fewer than ``OVERLAP`` words have masks of their own length, which keep
+some mask free of any substitutions that ``AGREE`` accepts: items of up to 4
+words must agree in all, those of 5 to 9 in all but one, others in all but two.
+Defined results: null and empty texts and items without words match nothing.
+Equal items are reported one by one. Repeated document rows are reported one by
+one. Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +34,19 @@ from tilewright.llm.words import mix, text_buffer, word_hashes
 
 OVERLAP = 13
 AGREE = 80
-LEAST_WORDS = 6
 BLOCK_BYTES = 16 << 20
-#: The masks; 1 counts, 0 is ignored. The first is for items without room for the others.
+#: The masks of items of ``OVERLAP`` words and more; 1 counts, 0 is ignored.
 MASKS = ("111111", "11011011", "1110010101", "10110100111", "110100010101001")
 _BITS = 22
 
 
+def short_masks(n: int) -> tuple[str, ...]:
+    """Masks over all ``n`` words of a short item: each ignores as many of its parts as words may differ, every choice of parts once."""
+    differ = n - -(-AGREE * n // 100)
+    parts = [k * (differ + 2) // n for k in range(n)]
+    return tuple("".join("0" if p in ignored else "1" for p in parts) for ignored in itertools.combinations(range(differ + 2), differ))
+
+
 def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     """The hash at every place where the mask fits."""
     n = len(words) - len(mask) + 1
@@ -57,12 +66,17 @@ class Block:
         self.ids = ids
         data, offsets = text_buffer(pa.array(texts, pa.string()))
         self.words, self.at = word_hashes(data, offsets, "sign")
-        item = np.repeat(np.arange(len(ids)), np.diff(self.at))
+        sizes = np.diff(self.at)
+        item = np.repeat(np.arange(len(ids)), sizes)
         self.seeds = []
-        for mask in MASKS:
+        masks = [(m, n) for n in np.unique(sizes).tolist() if 0 < n < OVERLAP for m in short_masks(n)]
+        for mask, size in masks + [(m, 0) for m in MASKS]:
             h = seeds(self.words, mask)
-            own = np.flatnonzero(item[: len(h)] == item[len(mask) - 1 :][: len(h)]) if len(h) else np.zeros(0, np.int64)
-            own = own[np.diff(self.at)[item[own]] >= LEAST_WORDS]
+            if size:
+                own = self.at[:-1][sizes == size]
+            else:
+                own = np.flatnonzero(item[: len(h)] == item[len(mask) - 1 :][: len(h)]) if len(h) else np.zeros(0, np.int64)
+                own = own[sizes[item[own]] >= OVERLAP]
             order = own[np.argsort(h[own], kind="stable")]
             table = np.zeros(1 << _BITS, bool)
             table[h[order] >> np.uint64(64 - _BITS)] = True
