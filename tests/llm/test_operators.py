@@ -296,6 +296,17 @@ def test_html_templates(spark):
     assert joined == got
 
 
+def test_html_templates_of_sections(spark):
+    rows = [(100 * k + i, f"http://h.example/{lang}/{i}", f"<body><div>{lang} edition</div><p>Text {lang} {i} stands alone</p></body>") for k, lang in enumerate(("en", "de", "fr", "es")) for i in range(8)]
+    rows += [(900 + i, f"http://h.example/{i}.html", f"<body><p>Root {i}</p><div>en edition</div></body>") for i in range(3)]
+    rows += [(950, "http://h.example/de/x?y=/z/", "<body><div>de edition</div></body>"), (951, "http://h.example/fr/deep/er/", "<body><div>fr edition</div><p>More</p></body>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (50_000, 0):
+        got = {r["page_id"]: r["text"] for r in html_text.extract(pages, broadcast_rows=most).collect()}
+        assert [got[100 * k + 3] for k in range(4)] == [f"Text {x} 3 stands alone" for x in ("en", "de", "fr", "es")]
+        assert got[900] == "Root 0\nen edition" and got[950] == "" and got[951] == "More"
+
+
 def test_html_on_pages(spark):
     for r in html_text.extract(spark.read.parquet(f"{SF}/pages.parquet")).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
         article = re.search(r"<article>(.*?)(?:</article>|$)", r["html"], re.S)[1]

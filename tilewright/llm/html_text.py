@@ -3,11 +3,13 @@
 Two passes over the pages. The first reads each page into blocks, leaves out
 what its markup names as menu, header, footer, sidebar, notice, advert, form,
 script, style or reader comment, and lists hashes of the element subtrees that
-remain. Spark counts them per host, over different main texts. A subtree that
-recurs in most of a host's texts is part of the site's template, and the second
-pass deletes it as well, unless nothing would be left of the page.
+remain. Spark counts them per section, over different main texts; sections are
+the host and each folder of its paths. A subtree that recurs in most of a
+section's texts is part of its template, and the second pass deletes it from the
+section's pages as well.
 
-Defined results: null, empty and text-free pages give an empty text. A missing
+Defined results: null, empty and text-free pages, and pages of which all blocks
+belong to templates, give an empty text. A missing
 URL is a host of its own name, ''. Unclosed and stray tags never fail; text
 outside all tags counts as a block. Repeated pages are extracted one by one and
 count as one text of their host. Input columns other than id, URL and html are
@@ -27,10 +29,10 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.common import materialize, slices
 
-#: A template recurs in at least so many different texts of a host and in this share of them.
+#: A template recurs in at least so many different texts of a section and in this share of them.
 LEAST_TEXTS = 5
 LEAST_SHARE = 0.6
-#: Templates up to this many rows (16 bytes and a host name each) go to the executors as one broadcast; beyond it they are joined.
+#: Templates up to this many rows (16 bytes and a section's name each) go to the executors as one broadcast; beyond it they are joined.
 BROADCAST_ROWS = 50_000
 
 # Element kinds of HTML.
@@ -50,6 +52,7 @@ OMIT_HEAD_NAMES = re.compile(r"(?:^|[^a-z])(?:head|header|site-?head\w*|page-?he
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_FOLDER = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*((?:/[^/?#]+)*)/"
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
@@ -162,8 +165,7 @@ class Page:
         rows = [b for b in self.blocks if b[2]] or self.blocks
         if templates:
             drop = {e for e in {e for b in rows for e in b[1]} if self.hash_of(e) in templates}
-            kept = [b for b in rows if not drop.intersection(b[1])]
-            rows = kept or rows
+            rows = [b for b in rows if not drop.intersection(b[1])]
         return [b[0] for b in rows]
 
     def hash_of(self, element: int) -> int:
@@ -175,47 +177,71 @@ class Page:
         return {self.hash_of(e) for e in {e for b in rows for e in b[1]}}
 
 
+def sections(folder: str) -> list[str]:
+    """The host and each folder down to this one."""
+    parts = folder.split("/")
+    return ["/".join(parts[: i + 1]) for i in range(len(parts))]
+
+
 def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col).cast("string"), _HOST, 1)), F.lit(""))
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
+    url = F.col(url_col).cast("string")
+    folder = F.coalesce(F.concat(F.lower(F.regexp_extract(url, _HOST, 1)), F.regexp_extract(url, _FOLDER, 1)), F.lit(""))
+    return pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), folder.alias("folder"), F.col(html_col).cast("string").alias("html"))
 
 
 def templates(pages: DataFrame, least_texts: int = LEAST_TEXTS, least_share: float = LEAST_SHARE) -> DataFrame:
-    """``host, subtree``: subtrees that recur across many different texts of the host."""
+    """``section, subtree``: subtrees that recur across most different texts of the section."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 4_000_000, "html"):
-                hosts, texts, trees = [], [], []
-                for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                names, texts, trees = [], [], []
+                for folder, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     page = Page(source or "")
                     if not page.blocks:
                         continue
-                    own = [0, *page.subtrees()]  # 0 counts the host's texts
-                    hosts += [host] * len(own)
-                    texts += [xxhash.xxh3_64_intdigest("\n".join(page.main())) - (1 << 63)] * len(own)
-                    trees += own
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(texts, pa.int64()), pa.array(trees, pa.int64())], names=["host", "text", "subtree"])
-
-    seen = pages.select("host", "html").mapInArrow(run, "host string, text long, subtree long").distinct()
-    counts = seen.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_texts)
+                    own = [0, *page.subtrees()]  # 0 counts the section's texts
+                    text = xxhash.xxh3_64_intdigest("\n".join(page.main())) - (1 << 63)
+                    for section in sections(folder):
+                        names += [section] * len(own)
+                        texts += [text] * len(own)
+                        trees += own
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.int64()), pa.array(trees, pa.int64())], names=["section", "text", "subtree"])
+
+    seen = pages.select("folder", "html").mapInArrow(run, "section string, text long, subtree long").distinct()
+    counts = seen.groupBy("section", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_texts)
     counts = materialize(counts, "subtrees")
-    total = counts.where("subtree = 0").select("host", F.col("n").alias("texts"))
-    return counts.where("subtree <> 0").join(total, "host").where(F.col("n") >= F.col("texts") * least_share).select("host", "subtree")
+    total = counts.where("subtree = 0").select("section", F.col("n").alias("texts"))
+    return counts.where("subtree <> 0").join(total, "section").where(F.col("n") >= F.col("texts") * least_share).select("section", "subtree")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
     src = _pages(pages, id_col, url_col, html_col)
     found = materialize(templates(src), "templates")
-    by_host = found.groupBy("host").agg(F.collect_set("subtree").alias("trees"))
-    small = found.limit(broadcast_rows + 1).count() <= broadcast_rows
-    joined = src.join(F.broadcast(by_host) if small else by_host.hint("merge"), "host", "left").select("page_id", "url", "html", "trees")
+    few = found.limit(broadcast_rows + 1).collect()
+    shared = None
+    if len(few) <= broadcast_rows:
+        by_section: dict[str, set[int]] = {}
+        for r in few:
+            by_section.setdefault(r["section"], set()).add(r["subtree"])
+        shared = pages.sparkSession.sparkContext.broadcast(by_section)
+        joined = src.select("page_id", "url", "html", "folder")
+    else:
+        parts = F.split("folder", "/")
+        names = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+        by_folder = src.select("folder").distinct().withColumn("section", F.explode(names)).join(found, "section").groupBy("folder").agg(F.collect_set("subtree").alias("trees"))
+        joined = src.join(by_folder.hint("merge"), "folder", "left").select("page_id", "url", "html", "trees")
+
+    def own_trees(value: str | list[int] | None) -> set[int]:
+        if shared is None:
+            return set(value or ())
+        return set().union(*(shared.value.get(x, ()) for x in sections(value)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 4_000_000, "html"):
-                texts = ["\n".join(Page(h or "").main(frozenset(t or ()))) for h, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+                texts = ["\n".join(Page(h or "").main(own_trees(t))) for h, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
