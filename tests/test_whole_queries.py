@@ -1,6 +1,8 @@
 """Queries that work on whole tables, against brute force."""
 
+import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
 from tilewright.plans import catalogue
 
@@ -26,3 +28,22 @@ def test_interval_overlap_all(spark):
     got = sorted(map(tuple, catalogue.queries()["interval_overlap_all"](spark, SF).select("k", "a", "b", "start_ms", "end_ms").collect()))
     assert got == want
     assert any(i // 10 % 40 for _, i, _, _, _ in got)
+
+
+def test_grid_nearest_match_all(spark):
+    pts = [(r["event_id"], -180 + r["user_id"] * 7919 % 24 * 15.0 + r["event_id"] * 31 % 500 / 100, -60 + r["user_id"] * 104729 % 9 * 13.0 + r["event_id"] * 17 % 400 / 100) for r in table("events")]
+    right = np.array([p[1:] for p in pts if p[0] % 2 == 0])
+    want = {}
+    for i, x, y in pts:
+        if i % 2:
+            d2 = ((right - (x, y)) ** 2).sum(1).min()
+            if d2 <= 1:
+                want[i] = round(d2, 9)
+    got = {r["a"]: r["d2"] for r in catalogue.queries()["grid_nearest_match_all"](spark, SF).collect()}
+    assert got == pytest.approx(want, abs=2e-9)
+
+
+def test_ring_area_all(spark):
+    want = {r["event_id"]: (r["event_id"] % 17 * 0.5 + 0.5) * (r["event_id"] % 11 * 0.5 + 0.5) for r in table("events")}
+    rows = catalogue.queries()["ring_area_all"](spark, SF).collect()
+    assert len(rows) == len(want) and {r["id"]: r["area"] for r in rows} == pytest.approx(want, abs=1e-4)

@@ -69,6 +69,12 @@ def ring_area(lon: Column, lat: Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda a, t: a + t) / 2
 
 
+def unwrapped(lon: Column) -> Column:
+    """Longitudes of a ring within 180 degrees of its first: a ring across the antimeridian becomes one piece. Rings span less than 180 degrees."""
+    first = F.get(lon, 0)
+    return F.transform(lon, lambda v: F.when(v - first > 180, v - 360).when(v - first < -180, v + 360).otherwise(v))
+
+
 def area(ring: np.ndarray) -> float:
     x, y = ring[:, 0], ring[:, 1]
     return float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum() / 2)

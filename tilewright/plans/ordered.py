@@ -184,11 +184,20 @@ def calendar_active_services(spark, d):
     SELECT a, round(min(d2), 9) AS d2 FROM r GROUP BY a""",
 )
 def grid_nearest_match(spark, d):
+    """Two of five points against each other, as in the SQL; ``grid_nearest_match_all`` has every point on one side."""
     p = src.points(spark, d)
     a, b = (p.where(F.col("feature_id") % 5 == k).select(F.col("feature_id").alias(n), F.col("lon").alias("x"), F.col("lat").alias("y")) for k, n in ((1, "a"), (2, "b")))
     return joins.nearest_on_grid(a, b, 1.0, 1.0).select("a", F.round("d2", 9).alias("d2"))
 
 
+@C.add("grid_nearest_match_all")
+def grid_nearest_match_all(spark, d):
+    """Points of odd ids against those of even ids."""
+    p = src.points(spark, d)
+    a, b = (p.where(F.pmod("feature_id", F.lit(2)) == k).select(F.col("feature_id").alias(n), F.col("lon").alias("x"), F.col("lat").alias("y")) for k, n in ((1, "a"), (0, "b")))
+    return joins.nearest_on_grid(a, b, 1.0, 1.0).select("a", F.round("d2", 9).alias("d2"))
+
+
 @C.add("inventory_fill", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END, n_name) AS label FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 def inventory_fill(spark, d):
     c = src.table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("k"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")).alias("label"))
