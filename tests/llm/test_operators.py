@@ -359,6 +359,14 @@ def test_url_filters(spark):
         assert got == {1: (True, 0), 2: (False, 1), 3: (False, 1), 4: (True, 0), 5: (True, 2), 6: (False, 1), 7: (True, 2), 8: (True, 0), 9: (True, 0), 10: (True, 0)}
 
 
+def test_url_filters_on_repeated_keys(spark):
+    events = spark.createDataFrame([("a", "bad.com", "block", 10), ("b", "bad.com/ok", "allow", 10)], "list string, pattern string, action string, at int")
+    urls = [(1, "http://bad.com/", 15), (1, "http://bad.com/", 15), (1, "http://bad.com/ok", 15), (1, "http://good.com", 15), (1, "http://bad.com/", 5), (None, "http://bad.com/", 15), (None, None, 15)]
+    got = [(r["page_id"], r["url"], r["n_matches"], r["kept"]) for r in url_filters.evaluate(spark.createDataFrame(urls, "page_id long, url string, fetched_at int"), events).collect()]
+    want = [(1, "http://bad.com/", 1, False), (1, "http://bad.com/", 1, False), (1, "http://bad.com/ok", 2, True), (1, "http://good.com", 0, True), (1, "http://bad.com/", 0, True), (None, "http://bad.com/", 1, False), (None, None, 0, True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 # --- 10
 
 

@@ -9,7 +9,7 @@ holds its fetch time. The longest pattern decides; among equals a block wins.
 All of it is DataFrame operations. Defined results: a null URL or fetch time
 matches nothing and is kept. Of several events of one moment the last verdict
 in alphabetical order counts (remove, block, allow). Repeated captures are
-judged one by one under a row key of their own. Host names compare in lower case;
+judged one by one: a verdict belongs to a key, URL and time. Host names compare in lower case;
 user, port, query and fragment are ignored.
 """
 
@@ -44,16 +44,16 @@ def keys(url: Column) -> Column:
 
 
 def evaluate(captures: DataFrame, events: DataFrame, key: str = "page_id", url_col: str = "url", time_col: str = "fetched_at", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``key, url, n_matches, pattern, action, kept`` for every capture; ``key`` is unique."""
+    """``key, url, n_matches, pattern, action, kept`` for every capture; ``key`` may repeat or be null."""
     valid = intervals(events)
     small = valid.limit(broadcast_rows + 1).count() <= broadcast_rows
     base = captures.select(F.col(key), F.col(url_col).alias("url"), F.col(time_col).alias("_at"))
-    tried = base.where(F.col("url").isNotNull() & F.col("_at").isNotNull()).select(key, "_at", F.explode(keys(F.col("url"))).alias("pattern"))
+    tried = base.where(F.col("url").isNotNull() & F.col("_at").isNotNull()).distinct().select(key, "url", "_at", F.explode(keys(F.col("url"))).alias("pattern"))
     right = F.broadcast(valid) if small else valid
     active = (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
     hit = tried.join(right, "pattern").where(active)
     # The longest pattern decides; 'block' comes after 'allow' in the alphabet.
-    best = hit.groupBy(key).agg(F.count("*").alias("n_matches"), F.max(F.struct(F.length("pattern").alias("n"), "action", "pattern")).alias("b"))
-    return base.join(best, key, "left").select(
+    best = hit.groupBy(F.col(key).alias("_key"), F.col("url").alias("_url"), F.col("_at").alias("_time")).agg(F.count("*").alias("n_matches"), F.max(F.struct(F.length("pattern").alias("n"), "action", "pattern")).alias("b"))
+    return base.join(best, F.col(key).eqNullSafe(F.col("_key")) & (F.col("url") == F.col("_url")) & (F.col("_at") == F.col("_time")), "left").select(
         key, "url", F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), F.col("b.pattern").alias("pattern"), F.col("b.action").alias("action"), F.coalesce(F.col("b.action") != "block", F.lit(True)).alias("kept")
     )
