@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tilewright.llm import decontaminate, html_text, id_store, language_id, packing, quality_rules, suffix_dedup, token_counts, url_filters
 from tilewright.llm.common import WordTokenizer, default_tokenizer
@@ -42,6 +43,13 @@ def test_tokenizer_gives_the_ids_of_whole_texts(tokenizer):
     assert tokenizer.encode(texts) == want
 
 
+def test_tokenizer_knows_added_tokens(tokenizer):
+    plain = Tokenizer.from_file(default_tokenizer())
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>\n y", "<|endoftext|", "no such token"]
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert tokenizer.encode(texts) == want and len(want[0]) == 4
+
+
 def test_word_hashes_tell_words_apart():
     texts = ["The the  THE\tcat", None, "", " x", "cat-x é É"]
     h, at = word_hashes(*text_buffer(pa.array(texts)))

@@ -133,7 +133,8 @@ class WordTokenizer:
     """Byte-level BPE ids of texts, each distinct word encoded once.
 
     ``encode(texts)`` gives one little-endian unsigned 32-bit ``bytes`` value
-    for each text. Ids are those of the tokenizers library on the whole text.
+    for each text. Ids are those of the tokenizers library on the whole text; texts
+    that hold an added token, such as ``<|endoftext|>``, go to it whole.
     The cache of words is dropped when it has ``max_words``.
     """
 
@@ -141,7 +142,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ids = _Words()
         self.max_words = max_words
         self.sizes = self._token_sizes()
@@ -184,7 +185,10 @@ class WordTokenizer:
         known.lacking = []
         get, found, ends = known.__getitem__, [], []
         for text in texts:
-            found.append(list(map(get, _segments(text))) if text else [])
+            if text and any(t in text for t in self.added):
+                found.append([np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()])
+            else:
+                found.append(list(map(get, _segments(text))) if text else [])
             ends.append(len(known.lacking))
         self._learn(list(dict.fromkeys(known.lacking)))
         late = map(get, known.lacking)
