@@ -18,10 +18,12 @@ SPACE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the setting is absent (local tests)."""
+    """The folder that all executors share; a temporary one only where the setting is absent and Spark runs on this machine alone."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return _local_dir()
 
 
@@ -30,47 +32,80 @@ def _local_dir() -> str:
     return "file://" + tempfile.mkdtemp(prefix="tilewright-")
 
 
-_written: list[tuple[SparkSession, str]] = []
 _SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+class Scratch:
+    """Intermediate tables that go together.
+
+    Tables written within ``with scratch:`` belong to it until ``release()``,
+    which is for callers that have written what they made of them; other
+    callers' tables stay.
+    """
+
+    def __init__(self):
+        self.tables: list[tuple[SparkSession, str]] = []
+
+    def __enter__(self) -> Scratch:
+        _open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _open.remove(self)
+
+    def release(self) -> None:
+        while self.tables:
+            _delete(*self.tables.pop())
+
+
+_rest = Scratch()
+_open: list[Scratch] = [_rest]
+_every: set[Scratch] = {_rest}
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return it as read back.
 
     This cuts the lineage: an executor lost later costs a re-read, not a
     recomputation, and the shuffle files of the writing job are freed at its
-    end. The written files go at ``release()`` (unless ``keep``) or when the
+    end. The written files go by ``discard``, with their ``Scratch`` or when the
     driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     before = spark.conf.get(_SHUFFLE_CLEANUP, "false")
     spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    owner = _open[-1]
+    _every.add(owner)
+    owner.tables.append((spark, path))
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_SHUFFLE_CLEANUP, before)
-    (_kept if keep else _written).append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
-_kept: list[tuple[SparkSession, str]] = []
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialized tables at once, for the operator that wrote them and reads them no more."""
+    for t in tables:
+        for owner in list(_every):
+            for entry in [e for e in owner.tables if e[1] == t._scratch_path]:
+                owner.tables.remove(entry)
+                _delete(*entry)
 
 
-def release(paths: list[tuple[SparkSession, str]] | None = None) -> None:
-    """Deletes the intermediate tables written so far. Only for callers that have written what they made of them."""
-    paths = _written if paths is None else paths
-    while paths:
-        spark, path = paths.pop()
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _clean() -> None:
-    for paths in (_written, _kept):
+    for owner in list(_every):
         try:
-            release(paths)
+            owner.release()
         except Exception:  # the session may be gone already
             return
 
