@@ -24,6 +24,7 @@ Only hashes, front-coded suffixes and answers move, never a list of a string's
 holders: a run sends any string once, however many of its documents hold it.
 
 Defined results: a null text is empty. Documents under 50 bytes lose nothing.
+A document longer than a run is a run of its own, read in stretches.
 Rows that repeat a doc_id are documents of their own: equal ids remove nothing
 from each other. Documents without an id come after all others. Further columns are ignored. An empty table gives an empty
 result.
@@ -40,6 +41,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilewright.llm.common import materialize, slices, text_bytes
 from tilewright.llm.words import _tables, mix, text_buffer
@@ -83,8 +85,10 @@ class Run:
         parts, first = [], 0
         while first < len(self.ids):
             last = max(first + 1, int(np.searchsorted(self.offsets, self.offsets[first] + _CHUNK, "right")) - 1)
-            a, b = self.offsets[first], self.offsets[last]
-            parts.append(self._anchors(int(a), int(b), first, last))
+            a, b = int(self.offsets[first]), int(self.offsets[last])
+            # A longer document is read in stretches; each window lies in the stretch of its start.
+            for start in range(a, max(b, a + 1), _CHUNK) if last == first + 1 else (a,):
+                parts.append(self._anchors(start, min(b, start + _CHUNK + SIZE - 1) if last == first + 1 else b, first, last))
             first = last
         return tuple(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(5))
 
@@ -107,7 +111,7 @@ class Run:
         m = np.minimum(m[: len(m) - (REACH - 16)], m[REACH - 16 :])
         place = (m & np.uint64(0xFFFFFFFF)).astype(np.int64)  # of each window start
         ok = np.zeros(len(place), bool)
-        for s, e in zip((self.offsets[first:last] - a).tolist(), (self.offsets[first + 1 : last + 1] - a).tolist(), strict=True):
+        for s, e in zip(np.maximum(self.offsets[first:last] - a, 0).tolist(), np.minimum(self.offsets[first + 1 : last + 1] - a, n).tolist(), strict=True):
             ok[s : max(s, e - SIZE + 1)] = True
         starts = np.flatnonzero(ok)
         if not len(starts):
@@ -135,14 +139,17 @@ _BYTES: np.ndarray | None = None
 
 
 def pack_runs(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
-    """``run, ids, offsets, data``: the documents of each task in runs; run numbers are drawn at random."""
+    """``run, ids, offsets, data, carried``: the documents of each task in runs; run numbers are drawn at random.
+
+    Columns beyond id and text travel with the run as one compressed Arrow stream.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, datas, sizes, weight = [], [], [], 0
+        ids, datas, sizes, more, weight = [], [], [], [], 0
 
         def done() -> pa.RecordBatch:
             packed = Run(np.concatenate(ids).astype(np.int64), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64), np.concatenate(datas)).dumps()
-            return pa.RecordBatch.from_arrays([pa.array([random.SystemRandom().getrandbits(62)], pa.int64()), *(pa.array([x], pa.binary()) for x in packed)], names=["run", "ids", "offsets", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([random.SystemRandom().getrandbits(62)], pa.int64()), *(pa.array([x], pa.binary()) for x in (*packed, _stream(more) if more else None))], names=["run", "ids", "offsets", "data", "carried"])
 
         for whole in batches:
             for batch in slices(whole, run_bytes // 4):
@@ -150,14 +157,24 @@ def pack_runs(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
                 ids.append(batch.column(0).to_numpy(zero_copy_only=False))
                 datas.append(data.copy())
                 sizes.append(np.diff(offsets))
+                if batch.num_columns > 2:
+                    more.append(pa.RecordBatch.from_arrays([batch.column(2)], names=["row"]))
                 weight += len(data)
                 if weight >= run_bytes:
                     yield done()
-                    ids, datas, sizes, weight = [], [], [], 0
+                    ids, datas, sizes, more, weight = [], [], [], [], 0
         if ids:
             yield done()
 
-    return docs.mapInArrow(run, "run long, ids binary, offsets binary, data binary")
+    return docs.mapInArrow(run, "run long, ids binary, offsets binary, data binary, carried binary")
+
+
+def _stream(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema) as out:
+        for b in batches:
+            out.write_batch(b)
+    return zstandard.ZstdCompressor(3).compress(sink.getvalue())
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
@@ -479,15 +496,18 @@ def _spans(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def cut(joined: DataFrame, with_text: bool = False) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked for, the text kept (a character cut in two goes)."""
+def cut(joined: DataFrame, with_text: bool = False, carried: T.StructType | None = None) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked for, the text kept (a character cut in two goes) and the columns carried."""
+    schema = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
+    if carried is not None:
+        schema = schema.add("row", carried)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 packed = Run.loads(*(batch.column(k)[i].as_py() for k in range(1, 4)))
-                window = np.zeros(len(packed.data) + 1, np.int32)
+                window = np.zeros(len(packed.data) + 1, bool)
                 found = {x["bucket"]: x["smallest"] for x in batch.column(4)[i].as_py() or ()}
                 for held in _split(batch.column(5)[i].as_py() or b""):
                     number, *parts = _split(held)
@@ -500,14 +520,14 @@ def cut(joined: DataFrame, with_text: bool = False) -> DataFrame:
                     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     own = packed.ids[np.searchsorted(packed.offsets, lo, "right") - 1]
                     hit = smallest[np.repeat(first[np.cumsum(heads) - 1], n) + step] < np.repeat(own, n)
-                    start = (np.repeat(lo + more, n) - step)[hit]
-                    np.add.at(window, start, 1) if len(start) < 1000 else window.__iadd__(np.bincount(start, minlength=len(window)).astype(np.int32))
+                    window[(np.repeat(lo + more, n) - step)[hit]] = True
                 delta = np.zeros(len(packed.data) + SIZE + 1, np.int32)
                 at = np.flatnonzero(window[: len(packed.data)])
                 delta[at] += 1
                 delta[at + SIZE] -= 1
                 covered = np.cumsum(delta)[: len(packed.data)] > 0
-                rows = []
+                more = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(batch.column(6)[i].as_py())).read_all().column(0) if carried is not None else None
+                rows, first = [], 0
                 for doc, a, b in zip(packed.ids.tolist(), packed.offsets[:-1].tolist(), packed.offsets[1:].tolist(), strict=True):
                     gone = covered[a:b]
                     removed = int(gone.sum())
@@ -515,27 +535,36 @@ def cut(joined: DataFrame, with_text: bool = False) -> DataFrame:
                     row = (doc, b - a, removed, len(_spans(gone)[0]) if removed else 0, hashlib.sha256(kept).hexdigest())
                     rows.append((*row, kept.decode("utf-8", "ignore")) if with_text else row)
                     if len(rows) == 2048:
-                        yield _batch(rows, names)
-                        rows = []
+                        yield _batch(rows, names, more, first)
+                        rows, first = [], first + len(rows)
                 if rows:
-                    yield _batch(rows, names)
+                    yield _batch(rows, names, more, first)
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
+    return joined.mapInArrow(run, schema)
 
 
-def _batch(rows: list, names: list[str]) -> pa.RecordBatch:
+def _batch(rows: list, names: list[str], more: pa.ChunkedArray | None, first: int) -> pa.RecordBatch:
     types = [pa.int64()] * 4 + [pa.string(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], names=names)
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)]
+    if more is not None:
+        own = more.slice(first, len(rows)).combine_chunks()
+        columns.append(own.chunk(0) if isinstance(own, pa.ChunkedArray) else own)
+        names = [*names, "row"]
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
 
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: list[str] | None = None, run_bytes: int = RUN_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Removes every byte covered by a 50-byte string that also starts in a document with a smaller id.
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, run_bytes: int = RUN_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Removes every byte covered by a 50-byte string that also starts in a document with a smaller id."""
+    Columns in ``carry`` come out in a struct ``row`` of their own, row by row, without a join.
+    """
     last = F.lit((1 << 63) - 1)
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*carry).alias("row")] if carry else []))
+    row = src.schema["row"].dataType if carry else None
     n_buckets = max(1, -(-text_bytes(src) // bucket_bytes))
     runs = materialize(pack_runs(src, run_bytes), "runs")
     replies = shared_hashes(anchor_hashes(runs, n_buckets)).groupBy("run").agg(F.collect_list(F.struct("bucket", "shared")).alias("replies"))
     encoded = materialize(run_suffixes(runs.join(replies, "run", "left").select("run", "ids", "offsets", "data", "replies"), n_buckets), "suffixes")
     found = answers(encoded.where("bucket IS NOT NULL")).groupBy("run").agg(F.collect_list(F.struct("bucket", "smallest")).alias("found"))
     held = encoded.where("bucket IS NULL").select("run", F.col("blob").alias("held"))
-    return cut(runs.join(found, "run", "left").join(held, "run", "left").select("run", "ids", "offsets", "data", "found", "held"), with_text).withColumn("doc_id", F.nullif("doc_id", last))
+    return cut(runs.join(found, "run", "left").join(held, "run", "left").select("run", "ids", "offsets", "data", "found", "held", "carried"), with_text, row).withColumn("doc_id", F.nullif("doc_id", last))
