@@ -27,7 +27,8 @@ Defined results: a document without words or text has an empty set, its own id
 as component and is kept. Fewer words than a shingle count as one shingle of
 the whole sequence. Rows that repeat a doc_id and its text repeat its result.
 A row without an id is kept only if no document with an id has its set.
-Further columns are ignored. An empty table gives an empty result.
+Texts of any length are compared whole. Further columns are ignored. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,11 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import materialize, slices
+from tilewright.llm.common import discard, materialize, slices
 from tilewright.llm.components import components
 from tilewright.llm.words import mix, text_buffer, word_hashes
 
 BANDS, ROWS = 40, 5
+#: So many of the lowest shingles of a list travel with it, to name a pair once; more or fewer change no result.
+LOWEST = 16
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -111,7 +114,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
                 sets = [shingles(words[a:b], shingle).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary")
+    # A merge join at every size, so that what is written grows in proportion.
+    return docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -140,7 +144,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document; links have at least ``percent`` of 100 in common."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = materialize(sketches(src, shingle), "sketches")
+    base = full = materialize(sketches(src, shingle), "sketches")
     classes = base.where("n > 0 AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "classes")
     own = base.where("n > 0").select("doc_id", "bands").join(classes.select(F.col("rep").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"])
@@ -150,27 +154,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = member.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     ids = member.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialize(full_sets(src, ids, shingle).dropDuplicates(["doc_id"]), "sets")
+    base = materialize(base.select("doc_id", "n", "print"), "sizes")
+    discard(full)
     stars = materialize(confirm(pairs, sets, percent), "stars")
     linked = F.col("both") * 100 >= F.col("either") * percent
-    links = stars.where(linked).select("a", "b")
+    links = materialize(stars.where(linked).select("a", "b"), "links")
     first = materialize(components(links), "components")
 
-    # Second pass: members of a hub that are still in different components.
-    spread = stars.join(first.withColumnRenamed("id", "b"), "b", "left").select("a", "b", "both", "n", "few", "extra", "bits", "merged", F.coalesce("component_id", "b").alias("c"))
-    spread = materialize(spread, "spread")
-    split = spread.groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("a")
-    left = materialize(spread.join(split, "a", "left_semi"), "split")
-    apart = (F.col("x.c") < F.col("y.c")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
+    # Second pass: members of a hub that are still in different components. Of each pair one is outside the hub's largest component.
+    spread = materialize(stars.join(first.withColumnRenamed("id", "b"), "b", "left").select("a", "b", "both", "n", "few", "extra", "bits", "merged", F.coalesce("component_id", "b").alias("c")), "spread")
+    discard(stars)
+    by = spread.groupBy("a", "c").agg(F.count("*").alias("k")).groupBy("a").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("a", F.col("top.c").alias("lead"))
+    left = materialize(spread.join(by, "a").withColumn("led", F.col("c") == F.col("lead")).drop("lead"), "split")
+    apart = (F.col("x.c") != F.col("y.c")) & (F.col("y.led") | (F.col("x.b") < F.col("y.b"))) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
     ends = F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")
-    few = left.where("few").select("a", "b", "both", "n", "c")
+    few = left.where("few").select("a", "b", "both", "n", "c", "led")
     needed = (F.col("x.n") + F.col("y.n")) * percent
     enough = F.least("x.both", "y.both") * (100 + percent) >= needed
-    inside = few.alias("x").join(few.alias("y"), F.col("x.a") == F.col("y.a")).where(apart & enough).select(*ends)
-    listed = left.select("a", "b", "both", "n", "c", "merged", *[F.col("bits")[i].alias(f"b{i}") for i in range(4)], F.explode("extra").alias("s"))
+    inside = few.where("NOT led").alias("x").join(few.alias("y"), F.col("x.a") == F.col("y.a")).where(apart & enough).select(*ends)
+    listed = left.select("a", "b", "both", "n", "c", "led", "merged", F.slice(F.array_sort("extra"), 1, LOWEST).alias("low"), *[F.col("bits")[i].alias(f"b{i}") for i in range(4)], F.explode("extra").alias("s"))
     common = sum((F.bit_count(F.col(f"x.b{i}").bitwiseAND(F.col(f"y.b{i}"))) for i in range(4)), F.least("x.merged", "y.merged") + F.least("x.both", "y.both"))
-    outside = listed.alias("x").join(listed.alias("y"), (F.col("x.a") == F.col("y.a")) & (F.col("x.s") == F.col("y.s"))).where(apart & (common * (100 + percent) >= needed)).select(*ends)
+    # A pair is named at the lowest shingle that both lists begin with, or wherever it meets if they begin with none in common.
+    lowest = F.array_min(F.array_intersect("x.low", "y.low"))
+    once = lowest.isNull() | (lowest == F.col("x.s"))
+    outside = listed.where("NOT led").alias("x").join(listed.alias("y"), (F.col("x.a") == F.col("y.a")) & (F.col("x.s") == F.col("y.s"))).where(apart & (common * (100 + percent) >= needed) & once).select(*ends)
     more = materialize(inside.unionByName(outside).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
     late = materialize(confirm(more, sets, percent).where(linked).select("a", "b"), "late")
+    discard(left, spread, sets, more, member)
     if late.isEmpty():
         joined = first
     else:
