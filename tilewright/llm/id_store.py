@@ -2,21 +2,24 @@
 
 Format: Parquet files below ``root/store``, sorted by doc_id within and across
 parts. A document's row holds its recipe (``keys``: 16 bytes for each chunk;
-``shared``: for each chunk 0 if no other document has it, 2 if it is stored
-here for others as well, 1 if it is stored with another document), the chunks
-stored with it (``own_keys``, ``own_lengths``, ``ids`` as little-endian
-unsigned values of ``wide`` bytes), its place ``start`` in its part, and its
-Merkle leaf. The last row of a part is its manifest: documents, tokens and the
-Merkle root of its leaves.
+``shared``: for each chunk 0 if no other place has it, 2 if it is stored here
+for others as well, 1 if it is stored with another document; 4 and 3 stand for
+2 and 1 if more than ``HOT`` places hold it), the chunks stored with it
+(``own_keys``, ``own_lengths``, ``ids`` as little-endian unsigned values of
+``wide`` bytes), its place ``start`` in its part, and its Merkle leaf. The last
+row of a part is its manifest: documents, tokens and the Merkle root of its
+leaves. ``root/manifest`` holds one row: parts, documents, tokens and the Merkle
+root of the parts' roots, so that a lost or exchanged part is noticed.
 
 A rolling hash over the last ids decides where a chunk ends, so equal passages
-give equal chunks wherever they stand. Equal chunks are stored once: the owner
-is the smallest (doc_id, row) that holds it. Only keys and chunks that several
-documents share move between tasks beside the one range exchange that sorts.
-
-Defined results: a null or empty text is the end id alone. Rows with the same
-doc_id stay rows of their own, in one part; rows without one come first. An empty table gives an empty
-store. Further input columns are ignored.
+give equal chunks wherever they stand. Equal chunks are stored once, with one of
+the documents that hold them. Only keys and chunks that several places share
+move between tasks beside the one range exchange that sorts.
+
+Defined results: a null or empty text is the end id alone. Texts of any length
+are stored whole. Rows with the same doc_id stay rows of their own, in one part;
+rows without one come first. An empty table gives an empty store. Further input
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,33 +28,39 @@ import hashlib
 import random
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import default_tokenizer, forget_words, materialize, shared_dir, slices, word_tokenizer
+from tilewright.llm.common import default_tokenizer, discard, forget_words, materialize, shared_dir, slices, word_tokenizer
 
 END_ID = 2
 KEY = 16
 SPAN = 6
 MEAN, LEAST, MOST = 256, 64, 2048
 PART_BYTES = 32 << 20
+#: Parts at most, so the manifest's rows are bounded.
+MOST_PARTS = 100_000
+#: A chunk held in more places than this is lent in ``SALTS`` copies, each for a share of the borrowers.
+HOT, SALTS = 4096, 64
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of chunks: where the hash of the last ``SPAN`` ids is 0 modulo ``MEAN``, between ``LEAST`` and ``MOST`` ids."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
-    h = np.zeros(n, np.uint64)
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    for j in range(SPAN):
-        h[j:] += (mixed[: n - j] >> np.uint64(17)) * np.uint64(2 * j + 1)
+def candidates(ids: np.ndarray) -> np.ndarray:
+    """Where a chunk may end: after ids where the hash of the last ``SPAN`` ids is 0 modulo ``MEAN``. Of several documents in a row, only places from ``SPAN`` ids on are theirs alone; chunks are longer."""
+    h = np.zeros(len(ids), np.uint64)
+    mixed = ((ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(17)
+    for j in range(min(SPAN, len(ids))):
+        h[j:] += mixed[: len(ids) - j] * np.uint64(2 * j + 1)
+    return np.flatnonzero((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(56) == 0) + 1
+
+
+def ends_of(n: int, places: list[int]) -> list[int]:
+    """Ends of the chunks of ``n`` ids: candidates between ``LEAST`` and ``MOST`` ids after the end before, or ``MOST``."""
     ends, last = [], 0
-    for c in (np.flatnonzero((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(56) == 0) + 1).tolist():
+    for c in places:
         while c - last > MOST:
             last += MOST
             ends.append(last)
@@ -64,6 +73,14 @@ def cuts(ids: np.ndarray) -> list[int]:
     return [*ends, n]
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    return ends_of(len(ids), candidates(ids).tolist())
+
+
+#: Flags of chunks that are stored with the document.
+OWNED = (0, 2, 4)
+
+
 def _dicts(batch: pa.RecordBatch) -> Iterator[dict]:
     names = batch.schema.names
     for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -104,24 +121,33 @@ class Merkle:
 
 
 def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None) -> DataFrame:
-    """``doc_id, row, keys, lengths, ids``: every document's chunks in full."""
+    """``doc_id, row, keys, lengths, wide, ids``: every document's chunks in full. Chunk ``i`` of a document has the number ``row + i``, which no other has."""
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, row = word_tokenizer(path).encode, random.SystemRandom().getrandbits(40) << 22
+        words, row = word_tokenizer(path), random.SystemRandom().getrandbits(31) << 32
+        wide = 2 if len(words.sizes) <= 1 << 16 else 4
+        end, head = np.asarray([END_ID], "<u4").tobytes(), bytes([wide])
         for whole in batches:
-            for batch in slices(whole):
-                rows = []
-                for doc, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                    ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(END_ID))
-                    ids = ids.astype("<u2" if ids.max() < 1 << 16 else "<u4")
-                    ends = cuts(ids)
-                    body, wide = ids.tobytes(), ids.itemsize
-                    parts = [body[a * wide : b * wide] for a, b in zip([0, *ends], ends, strict=False)]
-                    rows.append((doc, row, b"".join(digest(bytes([wide]) + p) for p in parts), np.diff([0, *ends]).astype("<i4").tobytes(), wide, body))
-                    row += 1
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.binary())], names=["doc_id", "row", "keys", "lengths", "wide", "ids"])
+            for batch in slices(whole, 1_000_000):
+                raw = words.encode(batch.column(1).to_pylist())
+                sizes = [len(r) // 4 + 1 for r in raw]
+                every = np.frombuffer(end.join([*raw, b""]), "<u4").astype(f"<u{wide}")
+                firsts = np.cumsum([0, *sizes])
+                places = candidates(every)
+                of, body = np.searchsorted(places, firsts, "right").tolist(), every.tobytes()
+                places = places.tolist()
+                rows, keys, lengths, ids = [], [], [], []
+                for n, first, a, b in zip(sizes, firsts.tolist(), of, of[1:], strict=False):
+                    cut = ends_of(n, [p - first for p in places[a:b]]) if n > LEAST else [n]
+                    own = body[first * wide : (first + n) * wide]
+                    parts = [own[x * wide : y * wide] for x, y in zip([0, *cut], cut, strict=False)] if len(cut) > 1 else [own]
+                    keys.append(b"".join([digest(head + p) for p in parts]))
+                    lengths.append(np.diff([0, *cut]).astype("<i4").tobytes() if len(cut) > 1 else n.to_bytes(4, "little"))
+                    ids.append(own)
+                    rows.append(row)
+                    row += len(cut)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.int64()), pa.array(keys, pa.binary()), pa.array(lengths, pa.binary()), pa.array([wide] * len(rows), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "row", "keys", "lengths", "wide", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, row long, keys binary, lengths binary, wide int, ids binary")
 
@@ -130,20 +156,19 @@ def write(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "t
     """Writes the store below ``root`` and returns ``root``."""
     spark = docs.sparkSession
     full = materialize(tokenized(docs, id_col, text_col, tokenizer), "tokenized")
-    places = full.select("doc_id", "row", F.expr(f"inline(transform(sequence(0, length(keys) div {KEY} - 1), i -> struct(i AS nth, substring(keys, i * {KEY} + 1, {KEY}) AS key)))"))
-    # A key's owner, and whether other documents hold it as well.
-    owners = places.groupBy("key").agg(F.min(F.struct("doc_id", "row", "nth")).alias("o"), F.count("*").alias("n"))
-    # Nearly all chunks are their holder's own; only chunks met again are listed for the writer, on their owner.
-    again = owners.where("n > 1").select("key", "o.*")
-    held = places.join(again.select("key", F.col("row").alias("o_row"), F.col("nth").alias("o_nth")), "key")
-    notes = held.groupBy("doc_id", "row").agg(F.collect_list(F.struct("nth", ((F.col("o_row") == F.col("row")) & (F.col("o_nth") == F.col("nth"))).alias("own"))).alias("notes"))
+    places = full.select("doc_id", "row", F.posexplode(F.expr(f"transform(sequence(0, length(keys) div {KEY} - 1), i -> substring(keys, i * {KEY} + 1, {KEY}))")).alias("nth", "key"))
+    # The first place of a key owns it. Nearly all chunks are their holder's own; only those met again are listed for the writer.
+    again = places.groupBy("key").agg(F.min(F.col("row") + F.col("nth")).alias("owner"), F.count("*").alias("n")).where("n > 1")
+    held = places.join(again, "key")
+    own, hot = F.col("owner") == F.col("row") + F.col("nth"), F.col("n") > HOT
+    flag = F.when(own, F.when(hot, 4).otherwise(2)).otherwise(F.when(hot, 3).otherwise(1))
+    notes = materialize(held.groupBy("doc_id", "row").agg(F.collect_list(F.struct("nth", flag.alias("flag"))).alias("notes")), "notes")
     none = [F.lit(None).cast(t).alias(c) for c, t in (("keys", "binary"), ("lengths", "binary"), ("wide", "int"), ("ids", "binary"))]
-    notes = materialize(notes, "notes")
     kind = notes.schema["notes"].dataType
     both = notes.select("doc_id", "row", F.lit(0).alias("kind"), "notes", *none).unionByName(full.select("doc_id", "row", F.lit(1).alias("kind"), F.lit(None).cast(kind).alias("notes"), "keys", "lengths", "wide", "ids"))
     # A chunk has about MEAN ids of two bytes.
     total = full.agg(F.coalesce(F.sum(F.length("keys")) * (MEAN * 2 // KEY), F.lit(0))).first()[0]
-    ordered = both.repartitionByRange(max(1, min(100_000, -(-total // PART_BYTES)) if total > PART_BYTES else 2), "doc_id").sortWithinPartitions("doc_id", "row", "kind")
+    ordered = both.repartitionByRange(max(1, min(MOST_PARTS, -(-total // PART_BYTES)) if total > PART_BYTES else 2), "doc_id").sortWithinPartitions("doc_id", "row", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -160,17 +185,21 @@ def write(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "t
             rows, weight = [], 0
             for x in _dicts(batch):
                 if x["kind"] == 0:
-                    listed = (x["doc_id"], x["row"], {n["nth"]: n["own"] for n in x["notes"]})
+                    listed = (x["doc_id"], x["row"], {n["nth"]: n["flag"] for n in x["notes"]})
                     continue
                 note = listed[2] if listed and listed[:2] == (x["doc_id"], x["row"]) else {}
-                keys, lengths, wide, ids = x["keys"], np.frombuffer(x["lengths"], "<i4"), x["wide"], x["ids"]
-                ends = [0, *np.cumsum(lengths).tolist()]
-                own = [i for i in range(len(lengths)) if note.get(i, True)]
-                body = ids if len(own) == len(lengths) else b"".join(ids[ends[i] * wide : ends[i + 1] * wide] for i in own)
+                keys, sizes, wide, body = x["keys"], x["lengths"], x["wide"], x["ids"]
+                n, flags, own_keys = len(body) // wide, bytes(len(keys) // KEY), keys
+                if note:
+                    lengths = np.frombuffer(sizes, "<i4")
+                    ends, flags = [0, *np.cumsum(lengths).tolist()], bytes(note.get(i, 0) for i in range(len(lengths)))
+                    own = [i for i, f in enumerate(flags) if f in OWNED]
+                    own_keys, sizes = b"".join(keys[KEY * i : KEY * i + KEY] for i in own), lengths[own].tobytes()
+                    body = b"".join(body[ends[i] * wide : ends[i + 1] * wide] for i in own)
                 leaf = digest(str(x["doc_id"]).encode() + b":" + keys)
                 tree.add(leaf)
-                rows.append((part, x["doc_id"], x["row"], at, ends[-1], keys, bytes(2 if note.get(i) else 1 if i in note else 0 for i in range(len(lengths))), b"".join(keys[KEY * i : KEY * i + KEY] for i in own), lengths[own].tobytes(), wide, body, leaf, None))
-                at, n_docs, weight = at + ends[-1], n_docs + 1, weight + len(body)
+                rows.append((part, x["doc_id"], x["row"], at, n, keys, flags, own_keys, sizes, wide, body, leaf, None))
+                at, n_docs, weight = at + n, n_docs + 1, weight + len(body)
                 if weight > 8 << 20:
                     yield batch_of(rows)
                     rows, weight = [], 0
@@ -181,9 +210,17 @@ def write(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "t
 
     out = ordered.mapInArrow(run, "part int, doc_id long, row long, start long, n_tokens long, keys binary, shared binary, own_keys binary, own_lengths binary, wide int, ids binary, leaf binary, root binary")
     out.write.option("compression", "zstd").parquet(f"{root}/store")
+    discard(full, notes)
+    spark.createDataFrame([top(spark, root)], "n_parts long, n_docs long, n_tokens long, root binary").coalesce(1).write.parquet(f"{root}/manifest")
     return root
 
 
+def top(spark: SparkSession, root: str) -> tuple[int, int, int, bytes]:
+    """Parts, documents, tokens and the Merkle root over all parts as they are stored; a part is one row."""
+    rows = sorted(map(tuple, parts(spark, root).collect()))
+    return len(rows), sum(r[1] for r in rows), sum(r[2] for r in rows), merkle_root([digest(f"{part}:{n}:{tokens}:".encode() + own) for part, n, tokens, own in rows])
+
+
 def parts(spark: SparkSession, root: str) -> DataFrame:
     """The manifest: one row for each part."""
     return spark.read.parquet(f"{root}/store").where("root IS NOT NULL").select("part", F.col("row").alias("n_docs"), "n_tokens", "root")
@@ -193,14 +230,31 @@ def recipes(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/store").where("root IS NULL").select("part", "doc_id", "row", "start", "n_tokens", "keys", "shared", "leaf")
 
 
+def _crc(rows: list[tuple]) -> pa.RecordBatch:
+    c = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[3], pa.int64()), pa.array([len(x) // 4 for x in c[4]], pa.int64()), pa.array(list(map(zlib.crc32, c[4])), pa.int64())], names=["part", "doc_id", "at", "n_tokens", "ids_crc32"])
+
+
+def _whole(rows: list[tuple]) -> pa.RecordBatch:
+    c = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), *(pa.array(c[i], pa.int64()) for i in (1, 2, 3)), pa.array(c[4], pa.binary())], names=["part", "doc_id", "row", "start", "ids"])
+
+
 def read(spark: SparkSession, root: str) -> DataFrame:
-    """``doc_id, row, part, start, ids`` (little-endian 32-bit) of every document, put together by its recipe.
+    """``part, doc_id, row, start, ids`` (little-endian 32-bit) of every document, put together by its recipe.
 
     ``start`` counts the ids before the document in its part; ``part_starts``
-    has those of the parts before. Chunks are checked against their keys. Only documents that borrow chunks are joined with them.
+    has those of the parts before. Chunks are checked against their keys. Only
+    documents that borrow chunks are joined with them.
     """
+    return _rebuilt(spark, root, _whole, "part int, doc_id long, row long, start long, ids binary")
+
+
+def _rebuilt(spark: SparkSession, root: str, give: Callable[[list[tuple]], pa.RecordBatch], schema: str) -> DataFrame:
     store = spark.read.parquet(f"{root}/store").where("root IS NULL")
-    borrows = F.expr("instr(hex(shared), '01') > 0")  # flags are 00, 01 and 02, so 01 is never found across two
+    # One signed byte a flag, 0 to 4; two hexadecimal digits each.
+    borrows, lends = (F.col("flags").rlike(f"^(..)*0[{kinds}]") for kinds in ("13", "24"))
+    store = store.withColumn("flags", F.hex("shared"))
     cols = ["part", "doc_id", "row", "start", "keys", "own_keys", "own_lengths", "wide", "ids"]
 
     def lend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,20 +262,21 @@ def read(spark: SparkSession, root: str) -> DataFrame:
         for batch in batches:
             out = []
             for x in batch.to_pylist():
-                lent = {x["keys"][KEY * i : KEY * i + KEY] for i, f in enumerate(x["shared"]) if f == 2}
+                lent = {x["keys"][KEY * i : KEY * i + KEY]: SALTS if f == 4 else 1 for i, f in enumerate(x["shared"]) if f in (2, 4)}
                 at = 0
                 for i, n in enumerate(np.frombuffer(x["own_lengths"], "<i4").tolist()):
                     key = x["own_keys"][KEY * i : KEY * i + KEY]
-                    if key in lent:
-                        out.append((key, x["wide"], x["ids"][at : at + n * x["wide"]]))
+                    body = x["ids"][at : at + n * x["wide"]]
+                    out += [(key, salt, x["wide"], body) for salt in range(lent.get(key, 0))]
                     at += n * x["wide"]
             if out:
-                a, b, c = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], names=["key", "w", "body"])
+                a, b, c, d = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.int32()), pa.array(c, pa.int32()), pa.array(d, pa.binary())], names=["key", "salt", "w", "body"])
 
-    lent = store.where("instr(hex(shared), '02') > 0").select("keys", "shared", "own_keys", "own_lengths", "wide", "ids").mapInArrow(lend, "key binary, w int, body binary")
-    wanted = store.where(borrows).select("row", F.explode(F.expr(f"array_distinct(transform(filter(sequence(0, length(shared) - 1), i -> substring(hex(shared), 2 * i + 1, 2) = '01'), i -> substring(keys, i * {KEY} + 1, {KEY})))")).alias("key"))
-    borrowed = wanted.join(lent, "key").groupBy("row").agg(F.collect_list(F.struct("key", "w", "body")).alias("others"))
+    lent = store.where(lends).select("keys", "shared", "own_keys", "own_lengths", "wide", "ids").mapInArrow(lend, "key binary, salt int, w int, body binary")
+    asked = F.array_distinct(F.expr(f"transform(filter(sequence(0, length(shared) - 1), i -> hex(substring(shared, i + 1, 1)) IN ('01', '03')), i -> struct(substring(keys, i * {KEY} + 1, {KEY}) AS key, if(hex(substring(shared, i + 1, 1)) = '03', cast(pmod(xxhash64(row), {SALTS}) AS int), 0) AS salt))"))
+    wanted = store.where(borrows).select("row", F.explode(asked).alias("q")).select("row", "q.key", "q.salt")
+    borrowed = wanted.join(lent, ["key", "salt"]).groupBy("row").agg(F.collect_list(F.struct("key", "w", "body")).alias("others"))
     kind = borrowed.schema["others"].dataType
     whole = store.where(~borrows).select(*cols, F.lit(None).cast(kind).alias("others"))
     mixed = store.where(borrows).select(*cols).join(borrowed, "row").select(*cols, "others")
@@ -244,10 +299,9 @@ def read(spark: SparkSession, root: str) -> DataFrame:
                             raise ValueError(f"document {x['doc_id']}: a stored chunk differs from its key")
                         ids.append(body if wide == 4 else np.frombuffer(body, "<u2").astype("<u4").tobytes())
                     out.append((x["part"], x["doc_id"], x["row"], x["start"], b"".join(ids)))
-                c = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), *(pa.array(c[i], pa.int64()) for i in (1, 2, 3)), pa.array(c[4], pa.binary())], names=["part", "doc_id", "row", "start", "ids"])
+                yield give(out)
 
-    return whole.unionByName(mixed).mapInArrow(build, "part int, doc_id long, row long, start long, ids binary")
+    return whole.unionByName(mixed).mapInArrow(build, schema)
 
 
 def part_starts(spark: SparkSession, root: str) -> DataFrame:
@@ -257,37 +311,42 @@ def part_starts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def verify(spark: SparkSession, root: str) -> DataFrame:
-    """Parts whose leaves do not give their Merkle root; empty if the store is sound."""
+    """Parts whose leaves do not give their Merkle root, and -1 if the parts do not give the manifest's; empty if the store is sound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, bad = Merkle(), []
+        tree, bad, part, n = Merkle(), [], None, 0
         for batch in batches:
             for x in batch.to_pylist():
+                if n and x["part"] != part:  # a part without its manifest row
+                    bad.append(part)
+                    tree, n = Merkle(), 0
+                part = x["part"]
                 if x["root"] is None:
                     if digest(str(x["doc_id"]).encode() + b":" + x["keys"]) != x["leaf"]:
-                        bad.append(x["part"])
+                        bad.append(part)
                     tree.add(x["leaf"])
+                    n += 1
                 else:
-                    if tree.root() != x["root"]:
-                        bad.append(x["part"])
-                    tree = Merkle()
+                    if tree.root() != x["root"] or n != x["row"]:
+                        bad.append(part)
+                    tree, n = Merkle(), 0
+        if n:
+            bad.append(part)
         yield pa.RecordBatch.from_arrays([pa.array(bad, pa.int32())], names=["part"])
 
     rows = spark.read.parquet(f"{root}/store").select("part", "doc_id", "row", "keys", "leaf", "root")
     ordered = rows.repartition("part").sortWithinPartitions("part", F.col("root").isNotNull(), "doc_id", "row")
-    return ordered.mapInArrow(run, "part int").distinct()
+    kept = spark.read.parquet(f"{root}/manifest").first()
+    lost = [] if kept and tuple(kept) == top(spark, root) else [(-1,)]
+    return ordered.mapInArrow(run, "part int").unionByName(spark.createDataFrame(lost, "part int")).distinct()
 
 
 def digest_rows(spark: SparkSession, root: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every document as read back."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_words()
-        for batch in batches:
-            raw = batch.column(3).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64())], names=["part", "doc_id", "at", "n_tokens", "ids_crc32"])
-
-    rows = read(spark, root).select("part", "doc_id", "start", "ids").mapInArrow(run, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    """``doc_id, start, n_tokens, ids_crc32`` of every document as read back, once all Merkle roots have been found right."""
+    bad = [r[0] for r in verify(spark, root).limit(10).collect()]
+    if bad:
+        raise ValueError(f"{root}: these parts differ from their Merkle roots: {bad}")
+    rows = _rebuilt(spark, root, _crc, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(part_starts(spark, root), "part").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
