@@ -2,8 +2,8 @@
 
 Two passes over the pages. The first reads each page into blocks, leaves out
 what its markup names as menu, header, footer, sidebar, notice, advert, form,
-script, style or reader comment, and lists hashes of the element subtrees that
-remain. Spark counts them per section, over different main texts; sections are
+script, style or reader comment (unless nothing would be left by such names),
+and lists hashes of the element subtrees that remain. Spark counts them per section, over different main texts; sections are
 the host and each folder of its paths. A subtree that recurs in most of a
 section's texts is part of its template, and the second pass deletes it from the
 section's pages as well.
@@ -11,7 +11,8 @@ section's pages as well.
 Defined results: null, empty and text-free pages, and pages of which all blocks
 belong to templates, give an empty text. A missing
 URL is a host of its own name, ''. Unclosed and stray tags never fail; text
-outside all tags counts as a block. Repeated pages are extracted one by one and
+outside all tags counts as a block. Pages of any length and depth are read whole,
+in linear time. Repeated pages are extracted one by one and
 count as one text of their host. Input columns other than id, URL and html are
 not carried. An empty table gives an empty result.
 """
@@ -41,6 +42,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template iframe textarea title svg math object canvas audio video xmp noembed noframes".split())
 OMIT = frozenset("head nav footer aside form menu dialog button select search".split())
 CLOSES_P = BLOCK - {"body", "html", "option", "optgroup", "caption", "legend", "summary", "figcaption", "tbody", "tfoot", "thead", "tr"}
+WRAPPERS = frozenset({"form"})
 SPACING = frozenset("br td th wbr img".split())
 OMIT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 OMIT_NAMES = re.compile(
@@ -50,16 +52,23 @@ OMIT_NAMES = re.compile(
 )
 OMIT_HEAD_NAMES = re.compile(r"(?:^|[^a-z])(?:head|header|site-?head\w*|page-?head\w*)(?:$|[^a-z])")
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
+#: Words before and after a name that tell of a page's layout, not of the element: ``has-sidebar``, ``comments-open``.
+_LAYOUT = re.compile(r"(?:^|[-_])(?:has|with|without|no|hide|show)[-_][a-z0-9_-]*|[a-z0-9_-]*[-_](?:open|closed|enabled|disabled|on|off|left|right|layout)(?=$|\s)")
 _ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_RAW_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+#: Start tags that close an open element of their kind, unless a list or table of their own lies between.
+CLOSED_BY = {"li": ((("li",), ("ul", "ol", "menu")),), "dt": ((("dt", "dd"), ("dl",)),), "dd": ((("dt", "dd"), ("dl",)),), "tr": ((("tr",), ("table",)),), "option": ((("option",), ("select",)),)}
 _FOLDER = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*((?:/[^/?#]+)*)/"
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
-def _left_out(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in OMIT or tag == "header" and not in_article:
+def _left_out(tag: str, attrs: str, in_article: bool, names: bool) -> bool:
+    """Whether an element is no part of the article, by its kind or, with ``names``, by its names and roles."""
+    if tag in OMIT and (names or tag not in WRAPPERS) or tag == "header" and not in_article:
         return True
-    if not attrs or tag in ("html", "body"):
+    if not attrs or not names or tag in ("html", "body", "article", "main"):
         return False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -68,113 +77,191 @@ def _left_out(tag: str, attrs: str, in_article: bool) -> bool:
                 return True
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        elif name in ("class", "id") and (OMIT_NAMES.search(value) or not in_article and OMIT_HEAD_NAMES.search(value)):
-            return True
+        elif name in ("class", "id"):
+            value = " ".join(_LAYOUT.sub(" ", v) for v in value.split()) if "-" in value or "_" in value else value
+            if OMIT_NAMES.search(value) or not in_article and OMIT_HEAD_NAMES.search(value):
+                return True
     return False
 
 
+class _Open:
+    """The open elements, each with what holds inside it; where those of each tag stand is known at once."""
+
+    def __init__(self):
+        self.rows: list[tuple[str, int, bool, bool, int]] = []  # tag, element or -1, left out, in the article, innermost element
+        self.at: dict[str, list[int]] = {}
+
+    def inner(self) -> int:
+        return self.rows[-1][4] if self.rows else -1
+
+    def push(self, tag: str, element: int, out: bool, article: bool) -> None:
+        self.at.setdefault(tag, []).append(len(self.rows))
+        self.rows.append((tag, element, out, article, element if element >= 0 else self.inner()))
+
+    def cut(self, k: int) -> None:
+        while len(self.rows) > k:
+            self.at[self.rows.pop()[0]].pop()
+
+    def last(self, tags: tuple[str, ...], upto: tuple[str, ...] = ()) -> int:
+        """The innermost of ``tags`` that is not outside one of ``upto``, or -1."""
+        k = max([self.at[t][-1] for t in tags if self.at.get(t)], default=-1)
+        return k if k < 0 or all(not self.at.get(u) or self.at[u][-1] < k for u in upto) else -1
+
+
 class Page:
-    """Blocks of a page in order, with the elements around each; elements as (start, end) of their source."""
+    """Blocks of a page in order; each with the innermost block element around it. One pass, linear in the source.
 
-    def __init__(self, source: str):
-        self.source = source
-        self.blocks: list[tuple[str, tuple[int, ...], bool]] = []  # text, open elements, inside the article
-        self.spans: list[list[int]] = []
-        self._read()
+    An element's hash covers the names of the elements in it and its text, not
+    attributes, so links of their own do not tell two copies of a template apart.
+    """
 
-    def _read(self) -> None:
-        source, stack, text, at = self.source, [], [], 0  # stack: (tag, element or -1, leave out, in article)
+    def __init__(self, source: str, names: bool = True):
+        self.source = source
+        self.blocks: list[tuple[str, int, bool]] = []  # text, element or -1, inside the article
+        self.parents: list[int] = []
+        self.hashes: list[int] = []
+        self._read(names)
+        if names and not self.blocks and source:
+            # Names that would leave nothing, and a form around everything, say nothing.
+            self.parents, self.hashes = [], []
+            self._read(False)
+
+    def _tokens(self) -> Iterator[tuple[int, int, bool, str, str]]:
+        """(start, end, is an end tag, tag, attributes) of tags, comments and declarations (no tag) in order.
+
+        Quotes hide ``>`` in a tag. If a tag's quotes do not close, it ends at its
+        first ``>``, and so do all after it. ``send`` moves on to a place.
+        """
+        source, at, quotes = self.source, 0, True
+        while (start := source.find("<", at)) >= 0:
+            after = source[start + 1 : start + 2]
+            if source.startswith("<!--", start):
+                end = min((e + n for e, n in ((source.find("-->", start + 4), 3), (source.find("--!>", start + 4), 4)) if e >= 0), default=len(source))
+                moved = yield start, end, False, "", ""
+            elif m := _NAME.match(source, start + 1 + (after == "/")):
+                end, i = -1, m.end()
+                while quotes and (stop := _STOP.search(source, i)):
+                    if stop[0] == ">":
+                        end = stop.end()
+                        break
+                    i = source.find(stop[0], stop.end()) + 1
+                    if not i:
+                        break
+                if end < 0:
+                    quotes = False
+                    end = source.find(">", m.end()) + 1
+                    if not end:
+                        return
+                moved = yield start, end, after == "/", m[0].lower(), source[m.end() : end - 1]
+            elif after and after in "!?/":
+                end = source.find(">", start) + 1
+                if not end:
+                    return
+                moved = yield start, end, False, "", ""
+            else:
+                moved, end = None, start + 1
+            at = end if moved is None else moved
+
+    def _read(self, names: bool) -> None:
+        source, stack, text, at = self.source, _Open(), [], 0
+        sums = [xxhash.xxh3_64()]  # of the page, then of each element
         out = in_article = False
 
         def flush() -> None:
             if text:
                 block = " ".join(html_lib.unescape("".join(text)).split())
                 if block:
-                    self.blocks.append((block, tuple(e for _, e, _, _ in stack if e >= 0), in_article))
+                    inner = stack.inner()
+                    self.blocks.append((block, inner, in_article))
+                    sums[inner + 1].update(block.encode("utf-8", "surrogatepass") + b"\0")
                 text.clear()
 
-        def close_to(k: int, end: int) -> None:
+        def close_to(k: int) -> None:
             nonlocal out, in_article
-            flush()
-            for _, element, _, _ in stack[k:]:
+            for row in reversed(stack.rows[k:]):
+                element = row[1]
                 if element >= 0:
-                    self.spans[element][1] = end
-            del stack[k:]
-            out, in_article = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-
-        def last(tags, upto=()) -> int:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in tags:
-                    return k
-                if stack[k][0] in upto:
-                    break
-            return -1
-
-        find = _TOKEN.search
-        while m := find(source, at):
-            if m.start() > at and not out:
-                text.append(source[at : m.start()])
-            at = m.end()
-            tag = (m[2] or "").lower()
-            if not tag:
-                continue
-            if m[1]:  # an end tag
-                k = last((tag,))
-                if k >= 0:
-                    if tag in BLOCK or stack[k][2]:
-                        close_to(k, at)
-                    else:
-                        for _, element, _, _ in stack[k:]:
-                            if element >= 0:
-                                self.spans[element][1] = at
-                        del stack[k:]
+                    self.hashes[element] = sums[element + 1].intdigest() - (1 << 63)
+                    sums[self.parents[element] + 1].update(sums[element + 1].digest())
+            stack.cut(k)
+            out, in_article = stack.rows[-1][2:4] if stack.rows else (False, False)
+
+        tokens = self._tokens()
+        token = next(tokens, None)
+        while token:
+            start, end, ends, tag, attrs = token
+            if start > at and not out:
+                text.append(source[at:start])
+            at, moved = end, None
+            if ends:
+                where = stack.at.get(tag)
+                if where:
+                    k = where[-1]
+                    if tag in BLOCK or stack.rows[k][2] or any(row[1] >= 0 for row in stack.rows[k:]):
+                        flush()
+                    close_to(k)
                 elif tag == "p":
                     flush()
-                continue
-            if tag in CLOSES_P and (k := last(("p",), ("article", "div", "section", "td", "li", "main"))) >= 0:
-                close_to(k, m.start())
-            if tag == "li" and (k := last(("li",), ("ul", "ol", "menu"))) >= 0 or tag in ("dt", "dd") and (k := last(("dt", "dd"), ("dl",))) >= 0 or tag == "tr" and (k := last(("tr",), ("table",))) >= 0 or tag == "option" and (k := last(("option",), ("select",))) >= 0:
-                close_to(k, m.start())
-            if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                if not m[3].rstrip().endswith("/") or tag not in ("svg", "math"):
-                    at = end.end() if end else len(source)
-                continue
-            if tag in BLOCK:
-                flush()
-            elif tag in SPACING:
-                text.append(" ")
-            if tag in VOID:
-                continue
-            element = -1
-            if tag in BLOCK and not out:
-                element = len(self.spans)
-                self.spans.append([m.start(), len(source)])
-            drop = out or _left_out(tag, m[3], in_article)
-            article = in_article or not drop and (tag in ("article", "main") or 'role="main"' in m[3])
-            if drop != out:
-                flush()
-            stack.append((tag, element, drop, article))
-            out, in_article = drop, article
+            elif tag:
+                if tag in CLOSES_P and stack.at.get("p") and (k := stack.last(("p",), ("article", "div", "section", "td", "li", "main"))) >= 0:
+                    flush()
+                    close_to(k)
+                for own, upto in CLOSED_BY.get(tag, ()):
+                    if (k := stack.last(own, upto)) >= 0:
+                        flush()
+                        close_to(k)
+                if tag in RAW:
+                    if not (attrs.rstrip().endswith("/") and tag in ("svg", "math")):
+                        close = _RAW_ENDS[tag].search(source, at)
+                        at = moved = close.end() if close else len(source)
+                else:
+                    if tag in BLOCK:
+                        flush()
+                    elif tag in SPACING:
+                        text.append(" ")
+                    if tag not in VOID:
+                        drop = out or _left_out(tag, attrs, in_article, names)
+                        article = in_article or not drop and (tag in ("article", "main") or 'role="main"' in attrs)
+                        element = -1
+                        if tag in BLOCK and not out:
+                            element = len(self.parents)
+                            self.parents.append(stack.inner())
+                            self.hashes.append(0)
+                            sums.append(xxhash.xxh3_64(tag.encode()))
+                        if drop != out:
+                            flush()
+                        stack.push(tag, element, drop, article)
+                        out, in_article = drop, article
+            try:
+                token = tokens.send(moved)
+            except StopIteration:
+                break
         if at < len(source) and not out:
             text.append(source[at:])
         flush()
+        close_to(0)
 
-    def main(self, templates: frozenset[int] | set[int] = frozenset()) -> list[str]:
-        """Texts of the blocks of the article, or of all blocks on a page without one."""
-        rows = [b for b in self.blocks if b[2]] or self.blocks
-        if templates:
-            drop = {e for e in {e for b in rows for e in b[1]} if self.hash_of(e) in templates}
-            rows = [b for b in rows if not drop.intersection(b[1])]
-        return [b[0] for b in rows]
+    def article(self) -> list[tuple[str, int, bool]]:
+        """The blocks of the article, or all blocks of a page without one."""
+        return [b for b in self.blocks if b[2]] or self.blocks
 
-    def hash_of(self, element: int) -> int:
-        a, b = self.spans[element]
-        return xxhash.xxh3_64_intdigest(" ".join(self.source[a:b].split())) - (1 << 63)
+    def main(self, templates: frozenset[int] | set[int] = frozenset()) -> list[str]:
+        """Texts of the article's blocks that are in no template."""
+        if not templates:
+            return [b[0] for b in self.article()]
+        gone: list[bool] = []
+        for h, parent in zip(self.hashes, self.parents, strict=True):  # parents come first
+            gone.append(h in templates or parent >= 0 and gone[parent])
+        return [text for text, element, _ in self.article() if element < 0 or not gone[element]]
 
     def subtrees(self) -> set[int]:
-        rows = [b for b in self.blocks if b[2]] or self.blocks
-        return {self.hash_of(e) for e in {e for b in rows for e in b[1]}}
+        """Hashes of the elements that hold blocks of the article."""
+        seen: set[int] = set()
+        for _, element, _ in self.article():
+            while element >= 0 and element not in seen:
+                seen.add(element)
+                element = self.parents[element]
+        return {self.hashes[e] for e in seen}
 
 
 def sections(folder: str) -> list[str]:
