@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm import decontaminate, html_text, id_store, language_id, near_dedup, packing, quality_rules, suffix_dedup, token_counts, url_filters
@@ -76,50 +76,62 @@ def op8_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_store.digest_rows(spark, root)
 
 
-#: The log of a list for ``op9``: list, pattern, action, day counted from 2024-01-01.
-URL_EVENTS = (
-    ("spam", "spam-farm.example.org", "block", 0),
-    ("spam", "cheap-pills.example.com", "block", 40),
-    ("spam", "www.cheap-pills.example.com", "block", 90),
-    ("spam", "cheap-pills.example.com", "remove", 200),
-    ("spam", "example.net", "block", 120),
-    ("spam", "example.net", "remove", 180),
-    ("spam", "example.net", "block", 300),
-    ("spam", "tionsh.example.net", "allow", 310),
-    ("local", "blog.ththan.example.net/en", "block", 60),
-    ("local", "blog.ththan.example.net/en", "allow", 150),
-    ("local", "thther.example.org/en", "block", 10),
-    ("local", "thther.example.org", "allow", 5),
-)
+def _day(text: Column, first: int = 1) -> Column:
+    """A day of the year that a text stands for."""
+    return (F.conv(F.substring(F.md5(text), first, 4), 16, 10).cast("int") % 366).cast("int")
+
+
+def url_events(pages: DataFrame) -> DataFrame:
+    """Three dated lists over everything that the pages link to: hosts blocked for 30 days, sites blocked, allowed and removed, and one verdict for each path."""
+    url = F.col("url")
+    hosts = pages.select(url_filters.host(url).alias("h")).where("h <> ''").distinct()
+    sites = hosts.select(F.regexp_replace("h", r"^[^.]*\.", "").alias("s")).where("s <> ''").distinct()
+    paths = pages.select(F.element_at(url_filters.keys(url), -1).alias("p")).where("p LIKE '%/%'").distinct()
+    row = lambda name, pattern, action, at: F.struct(F.lit(name).alias("list"), F.col(pattern).alias("pattern"), action.alias("action"), at.cast("int").alias("at"))
+    block, allow, remove = map(F.lit, ("block", "allow", "remove"))
+    h, s, p = _day(F.col("h")), _day(F.col("s")), _day(F.col("p"))
+    logs = (
+        hosts.select(F.inline(F.array(row("hosts", "h", block, h), row("hosts", "h", remove, h + 30)))),
+        sites.select(F.inline(F.array(row("sites", "s", block, s), row("sites", "s", allow, s + 20), row("sites", "s", remove, s + 90)))),
+        paths.select(F.inline(F.array(row("paths", "p", F.when(_day(F.col("p"), 5) < 183, block).otherwise(allow), p)))),
+    )
+    return logs[0].unionByName(logs[1]).unionByName(logs[2])
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages as captures; the day of a capture is fixed by its id."""
-    events = spark.createDataFrame(URL_EVENTS, "list string, pattern string, action string, at int")
-    captures = documents(spark, sf_dir, "pages").select("page_id", "url", F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int").alias("fetched_at"))
-    return url_filters.evaluate(captures, events)
+    """The pages as captures, against dated lists of all their hosts, sites and paths; the day of a capture is fixed by its id."""
+    pages = documents(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int").alias("fetched_at"))
+    return url_filters.evaluate(captures, url_events(pages))
 
 
-_EVENT_ROWS = ", ".join(f"('{a}', '{b}', '{c}', {d})" for a, b, c, d in URL_EVENTS)
+_DAY = "(('0x' || substr(md5({0}), {1}, 4))::BIGINT % 366)"
 OP9_SQL = rf"""
-WITH events(list_name, pattern, action, on_day) AS (VALUES {_EVENT_ROWS}),
-valid AS (
-  SELECT * FROM (SELECT list_name, pattern, action, on_day AS valid_from, lead(on_day) OVER (PARTITION BY list_name, pattern ORDER BY on_day) AS valid_to FROM events)
-  WHERE action <> 'remove'),
-captures AS (
+WITH captures AS (
   SELECT page_id, url, CAST((page_id * 37) % 366 AS INT) AS fetched_at,
          lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
          regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path
   FROM pages),
+places AS (SELECT *, host || regexp_replace(regexp_replace(path, '/+', '/', 'g'), '/$', '') AS place FROM captures),
+hosts AS (SELECT DISTINCT host AS p FROM places WHERE host <> ''),
+sites AS (SELECT DISTINCT regexp_replace(p, '^[^.]*\.', '') AS p FROM hosts WHERE p LIKE '%.%' AND p NOT LIKE '%.' UNION SELECT p FROM hosts WHERE p NOT LIKE '%.%'),
+paths AS (SELECT DISTINCT place AS p FROM places WHERE place LIKE '%/%'),
+events(list_name, pattern, action, on_day) AS (
+  SELECT 'hosts', p, unnest(['block', 'remove']), {_DAY.format("p", 1)} + unnest([0, 30]) FROM hosts
+  UNION ALL SELECT 'sites', p, unnest(['block', 'allow', 'remove']), {_DAY.format("p", 1)} + unnest([0, 20, 90]) FROM sites
+  UNION ALL SELECT 'paths', p, CASE WHEN {_DAY.format("p", 5)} < 183 THEN 'block' ELSE 'allow' END, {_DAY.format("p", 1)} FROM paths),
+valid AS (
+  SELECT * FROM (SELECT list_name, pattern, action, on_day AS valid_from, lead(on_day) OVER (PARTITION BY list_name, pattern ORDER BY on_day) AS valid_to FROM events)
+  WHERE action <> 'remove'),
 hits AS (
-  SELECT c.page_id, v.pattern, v.action,
-         row_number() OVER (PARTITION BY c.page_id ORDER BY length(v.pattern) DESC, v.action DESC, v.pattern DESC) AS nth,
-         count(*) OVER (PARTITION BY c.page_id) AS n
-  FROM captures c JOIN valid v
-    ON (c.host = v.pattern OR ends_with(c.host, '.' || v.pattern) OR starts_with(c.host || c.path || '/', v.pattern || '/') AND contains(v.pattern, '/'))
+  SELECT c.page_id, c.url, c.fetched_at, v.pattern, v.action,
+         row_number() OVER (PARTITION BY c.page_id, c.url, c.fetched_at ORDER BY length(v.pattern) DESC, v.action DESC, v.pattern DESC) AS nth,
+         count(*) OVER (PARTITION BY c.page_id, c.url, c.fetched_at) AS n
+  FROM (SELECT DISTINCT * FROM places) c JOIN valid v
+    ON (c.host = v.pattern OR ends_with(c.host, '.' || v.pattern) OR contains(v.pattern, '/') AND starts_with(c.place || '/', v.pattern || '/'))
    AND c.fetched_at >= v.valid_from AND (v.valid_to IS NULL OR c.fetched_at < v.valid_to))
 SELECT c.page_id, c.url, coalesce(h.n, 0) AS n_matches, h.pattern, h.action, coalesce(h.action <> 'block', TRUE) AS kept
-FROM captures c LEFT JOIN hits h ON h.page_id = c.page_id AND h.nth = 1
+FROM captures c LEFT JOIN hits h ON h.page_id IS NOT DISTINCT FROM c.page_id AND h.url = c.url AND h.fetched_at = c.fetched_at AND h.nth = 1
 """
 
 

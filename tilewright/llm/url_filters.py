@@ -9,8 +9,12 @@ holds its fetch time. The longest pattern decides; among equals a block wins.
 All of it is DataFrame operations. Defined results: a null URL or fetch time
 matches nothing and is kept. Of several events of one moment the last verdict
 in alphabetical order counts (remove, block, allow). Repeated captures are
-judged one by one: a verdict belongs to a key, URL and time. Host names compare in lower case;
-user, port, query and fragment are ignored.
+judged one by one: a verdict belongs to a key, URL and time. Host names compare
+in lower case, paths as they are; user, port, query and fragment are ignored.
+URLs of any length are judged whole. Further columns are not carried. An empty
+table gives an empty result, an empty list keeps everything. A pattern that very
+many captures try is a hot key of the shuffled join only; adaptive execution
+splits it, since each key meets few intervals.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ BROADCAST_ROWS = 50_000
 
 def intervals(events: DataFrame) -> DataFrame:
     """``list, pattern, action, valid_from, valid_to`` from rows ``list, pattern, action, at``; ``valid_to`` is open (null: for ever)."""
-    one = events.groupBy("list", F.lower("pattern").alias("pattern"), "at").agg(F.max("action").alias("action"))
+    one = events.groupBy("list", F.concat(F.lower(F.substring_index("pattern", "/", 1)), F.regexp_extract("pattern", "/.*", 0)).alias("pattern"), "at").agg(F.max("action").alias("action"))
     following = F.lead("at").over(Window.partitionBy("list", "pattern").orderBy("at"))
     return one.withColumn("valid_to", following).where("action <> 'remove'").select("list", "pattern", "action", F.col("at").alias("valid_from"), "valid_to")
 
