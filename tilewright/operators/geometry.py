@@ -101,17 +101,17 @@ def clip_ring(ring: np.ndarray, box: tuple[float, float, float, float]) -> np.nd
 
 
 def split_at_antimeridian(line: np.ndarray) -> list[np.ndarray]:
-    """A line as runs without a step of over 180 degrees; a step across is cut at ±180."""
+    """A line as runs without a step of over 180 degrees; a step across is cut at ±180, all further columns (times) in proportion."""
     runs, now = [], [line[0]]
     for p, q in zip(line, line[1:], strict=False):
         if abs(q[0] - p[0]) > 180:
             side = 180.0 if p[0] > 0 else -180.0
             far = q[0] + (360 if side > 0 else -360)
             t = (side - p[0]) / (far - p[0]) if far != p[0] else 0.0
-            lat = p[1] + t * (q[1] - p[1])
-            now.append(np.asarray([side, lat]))
+            rest = p[1:] + t * (q[1:] - p[1:])
+            now.append(np.asarray([side, *rest]))
             runs.append(np.asarray(now))
-            now = [np.asarray([-side, lat])]
+            now = [np.asarray([-side, *rest])]
         now.append(q)
     return [*runs, np.asarray(now)]
 
@@ -169,25 +169,22 @@ def time_slices(verts: np.ndarray, width_ms: int) -> list[np.ndarray]:
 
 
 def clip_track(verts: np.ndarray, zoom: int, buffer_px: float = 8.0) -> list[tuple[int, int, np.ndarray]]:
-    """(x, y, vertices) of a track of (lon, lat, ms) in every tile that it touches; one piece a tile and run."""
+    """(x, y, vertices) of a track of (lon, lat, ms) in every tile that it touches; a piece for each stay in it."""
     out = []
-    for run in split_at_antimeridian(verts[:, :2]) if np.abs(np.diff(verts[:, 0])).max(initial=0) > 180 else [verts]:
-        if run.shape[1] == 2:  # times follow by place in the original
-            t = np.interp(np.arange(len(run)), np.linspace(0, len(run) - 1, len(verts)), verts[:, 2])
-            run = np.column_stack([run, t])
+    for run in split_at_antimeridian(verts):
         for x, y in sorted(covered_tiles(run, zoom)):
-            box, piece = box_of(zoom, x, y, buffer_px), []
+            box, pieces, left = box_of(zoom, x, y, buffer_px), [[]], False
             for p, q in zip(run, run[1:], strict=False):
                 hit = clip_segment(tuple(p[:2]), tuple(q[:2]), box)
-                if hit is None:
-                    continue
-                for t in hit:
+                if hit is None or hit[0] > 0 or left:
+                    pieces.append([])
+                left = hit is not None and hit[1] < 1
+                for t in hit or ():
                     v = p + t * (q - p)
                     v[2] = math.trunc(v[2])
-                    if not piece or np.abs(v[:2] - piece[-1][:2]).max() > 1e-9:
-                        piece.append(v)
-            if len(piece) > 1:
-                out.append((x, y, np.asarray(piece)))
+                    if not pieces[-1] or np.abs(v[:2] - pieces[-1][-1][:2]).max() > 1e-9:
+                        pieces[-1].append(v)
+            out += [(x, y, np.asarray(piece)) for piece in pieces if len(piece) > 1]
     return out
 
 

@@ -174,9 +174,13 @@ def stratified(tiles: DataFrame, size: int, weight: str = "n", strata: tuple[str
 
 
 def stride(df: DataFrame, most: int, order: list[str]) -> DataFrame:
-    """Every ceil(n / most)-th row in order."""
+    """Every ceil(n / most)-th row in order: rows are numbered within range partitions, which then learn how many come before."""
     step = max(1, -(-df.count() // most))
-    return df.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1).where(F.col("_i") % step == 0).drop("_i")
+    parted = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    numbered = parted.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
+    sizes = numbered.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return numbered.join(F.broadcast(sizes.select("_p", before.alias("_b"))), "_p").where((F.col("_b") + F.col("_i")) % step == 0).select(*df.columns)
 
 
 def resample(features: DataFrame, key: str, every_ms: int) -> DataFrame:

@@ -30,12 +30,9 @@ def column_stats(features: DataFrame, column: str) -> DataFrame:
 
 
 def pins(features: DataFrame, columns: list[str]) -> DataFrame:
-    """A row for each column: offset, step and stored kind of its grid."""
-    out = None
-    for c in columns:
-        one = features.agg(*[e.alias(k) for k, e in values.pin(F.col(c)).items()]).select(F.lit(c).alias("column"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """A row for each column: offset, step and stored kind of its grid. One scan, however many columns."""
+    found = features.agg(*[F.struct(F.lit(c).alias("column"), *[e.alias(k) for k, e in values.pin(F.col(c)).items()]).alias(f"_{i}") for i, c in enumerate(columns)])
+    return found.select(F.inline(F.array(*[f"_{i}" for i in range(len(columns))])))
 
 
 def dictionary_verdict(features: DataFrame, column: str, overhead: int = 256) -> DataFrame:
@@ -65,12 +62,26 @@ def time_quantiles(features: DataFrame, bins: int, quantiles: list[float]) -> Da
     return h.withColumn("w", F.explode(F.array(*want))).where(F.col("upto") >= F.col("w.target")).groupBy(F.col("w.q").alias("q")).agg(F.min("edge").alias("boundary"))
 
 
+def running_counts(counted: DataFrame, value: str = "v", n: str = "n") -> DataFrame:
+    """Adds ``upto``, the sum of ``n`` over all values up to a row's, and ``total``.
+
+    Range partitions are summed inside, then the sums of those before (one row
+    a partition) are added, so no task sees all values.
+    """
+    parted = counted.repartitionByRange(F.col(value)).sortWithinPartitions(value).withColumn("_p", F.spark_partition_id())
+    inside = parted.withColumn("_u", F.sum(n).over(Window.partitionBy("_p").orderBy(value)))
+    sums = inside.groupBy("_p").agg(F.sum(n).alias("_n"))
+    w = Window.orderBy("_p")
+    before = sums.select("_p", (F.sum("_n").over(w) - F.col("_n")).alias("_b"), F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    return inside.join(F.broadcast(before), "_p").withColumn("upto", F.col("_b") + F.col("_u")).drop("_p", "_u", "_b")
+
+
 def style_numeric(features: DataFrame, column: str) -> DataFrame:
     """Extremes, floor-index percentiles and a domain rounded outward to two figures."""
     v = values.finite(F.col(column))
-    s = features.agg(F.array_sort(F.collect_list(v)).alias("s"))  # sampled by the caller where it must be bounded
-    at = lambda q: values.at_index(F.col("s"), F.floor(F.size("s") * F.lit(q)))
-    s = s.select(F.get("s", F.lit(0)).alias("low"), *[at(q).alias(f"p{round(q * 100)}") for q in (0.5, 0.9, 0.95, 0.97, 0.99)], F.get("s", F.size("s") - 1).alias("high"))
+    counts = running_counts(features.select(v.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n")))
+    at = lambda q: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("total") * F.lit(q)), F.col("total") - 1), F.col("v")))
+    s = counts.agg(F.min("v").alias("low"), *[at(q).alias(f"p{round(q * 100)}") for q in (0.5, 0.9, 0.95, 0.97, 0.99)], F.max("v").alias("high"))
     return s.withColumn("domain_low", values.outward_2sf(F.col("low"), False)).withColumn("domain_high", values.outward_2sf(F.col("p97"), True))
 
 
@@ -81,8 +92,14 @@ def style_categorical(features: DataFrame, column: str) -> DataFrame:
 def heatmap(features: DataFrame, column: str, by: str, served: bool = False, classes: int = 8) -> DataFrame:
     """Low and 95th percentile by class, for the first classes in order. Served ones interpolate, offline ones index."""
     v = values.finite(F.col(column))
-    high = F.percentile(v, F.lit(0.95)) if served else values.floor_percentile(v, 0.95)
-    return features.where(F.col(by).isNotNull() & v.isNotNull()).groupBy(F.col(by).alias("class")).agg(F.min(v).alias("low"), high.alias("high")).orderBy("class").limit(classes)
+    rows = features.select(F.col(by).alias("class"), v.alias("v")).where("class IS NOT NULL AND v IS NOT NULL")
+    if served:
+        found = rows.groupBy("class").agg(F.min("v").alias("low"), F.percentile("v", F.lit(0.95)).alias("high"))
+    else:
+        w = Window.partitionBy("class")
+        counts = rows.groupBy("class", "v").agg(F.count("*").alias("n")).withColumns({"upto": F.sum("n").over(w.orderBy("v")), "total": F.sum("n").over(w)})
+        found = counts.groupBy("class").agg(F.min("v").alias("low"), F.min(F.when(F.col("upto") > F.floor(F.col("total") * 0.95), F.col("v"))).alias("high"))
+    return found.orderBy("class").limit(classes)
 
 
 def fingerprint(features: DataFrame, id_col: str = "feature_id", sketch: bool = False) -> DataFrame:
@@ -93,9 +110,11 @@ def fingerprint(features: DataFrame, id_col: str = "feature_id", sketch: bool =
 
 def coverage(features: DataFrame, low: int, high: int) -> DataFrame:
     """By zoom: occupied tiles, share of all tiles, and features per tile (upper median)."""
-    t = tiling.tile_counts(features, low, high)
-    m = F.array_sort(F.collect_list("n"))
-    return t.groupBy("zoom").agg(F.count("*").alias("tiles"), F.avg("n").alias("avg_n"), F.max("n").alias("max_n"), F.get(m, F.floor(F.size(m) / 2).cast("int")).alias("median_n")).withColumn("share", F.col("tiles") / F.pow(F.lit(4.0), "zoom"))
+    h = tiling.tile_counts(features, low, high).groupBy("zoom", "n").agg(F.count("*").alias("k"))
+    w = Window.partitionBy("zoom")  # rows are distinct counts of a zoom
+    h = h.withColumns({"total": F.sum("k").over(w), "upto": F.sum("k").over(w.orderBy("n"))})
+    median = F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("n")))
+    return h.groupBy("zoom").agg(F.sum("k").alias("tiles"), (F.sum(F.col("n") * F.col("k")) / F.sum("k")).alias("avg_n"), F.max("n").alias("max_n"), median.alias("median_n")).withColumn("share", F.col("tiles") / F.pow(F.lit(4.0), "zoom"))
 
 
 def hotspots(features: DataFrame, degrees: float = 10.0, least: int = 100, top: int = 10) -> DataFrame:
@@ -107,7 +126,12 @@ def hotspots(features: DataFrame, degrees: float = 10.0, least: int = 100, top:
 
 def density(features: DataFrame, zooms: tuple[int, int], width_ms: int, over: int = 10_000, under: int = 10) -> DataFrame:
     """By zoom, over tiles and buckets: mean, upper median, 95th percentile, maximum, share of the fullest hundredth."""
-    t = tiling.pyramid(features, *zooms, width_ms).groupBy("zoom", "x", "y", "bucket_ms").agg(F.count("*").alias("n"))
+    low, high = zooms
+    deep = tiling.place(features, high, width_ms).groupBy("x", "y", "bucket_ms").agg(F.count("*").alias("n"))
+    # Counts rise through the zooms by shifts, not features.
+    up = deep.withColumn("zoom", F.explode(F.sequence(F.lit(low), F.lit(high))))
+    shifted = [F.call_function("shiftright", F.col(c), F.lit(high) - F.col("zoom")).alias(c) for c in "xy"]
+    t = up.select("zoom", *shifted, "bucket_ms", "n").groupBy("zoom", "x", "y", "bucket_ms").agg(F.sum("n").alias("n"))
     # A histogram of counts keeps the second level small: rows by (zoom, n).
     h = t.groupBy("zoom", "n").agg(F.count("*").alias("k"))
     w = Window.partitionBy("zoom")

@@ -103,20 +103,21 @@ def serve(features: DataFrame, zoom: int, x: int, y: int, bucket_ms: int, width_
 
 def home_zoom(features: DataFrame, low: int, high: int, width_ms: int, spacing_px: float = 0.4, id_col: str = "feature_id", importance: str | None = None) -> DataFrame:
     """Adds ``home_zoom``: from coarse to fine, the most important unclaimed feature of each voxel of space and time
-    claims it; the rest go to the highest zoom. One window per zoom over what is left."""
+    claims it; the rest, and all that cannot be placed, go to the highest zoom. One window per zoom over what is left."""
     from pyspark.sql import Window
 
     order = [F.col(importance).desc()] if importance else []
-    left, done = features.withColumn("home_zoom", F.lit(None).cast("int")), None
+    features = features.withColumn("home_zoom", F.lit(None).cast("int"))
+    placeable = F.coalesce(space.valid(F.col("lon"), F.col("lat")), F.lit(False)) & F.col("start_ms").isNotNull()
+    left, done = features.where(placeable), features.where(~placeable).withColumn("home_zoom", F.lit(high))
     for z in range(low, high):
         pitch = F.lit(spacing_px * space.EARTH_M_PER_PIXEL / 2**z / 111320.0)
         keys = [F.floor((F.col("lon") + 180) / pitch), F.floor((F.col("lat") + 90) / pitch), timing.bucket(F.col("start_ms"), width_ms)]
         ranked = left.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, F.col(id_col))))
         won = ranked.where("_n = 1").drop("_n").withColumn("home_zoom", F.lit(z))
-        done = won if done is None else done.unionByName(won)
+        done = done.unionByName(won)
         left = ranked.where("_n > 1").drop("_n")
-    rest = left.withColumn("home_zoom", F.lit(high))
-    return rest if done is None else done.unionByName(rest)
+    return done.unionByName(left.withColumn("home_zoom", F.lit(high)))
 
 
 def count_cap(placed: DataFrame, most: int, score: str, id_col: str = "feature_id", keys: tuple[str, ...] = ("zoom", "x", "y")) -> DataFrame:
