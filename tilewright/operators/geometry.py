@@ -137,20 +137,18 @@ def split_polygon(ring: np.ndarray) -> list[np.ndarray]:
 
 
 def covered_tiles(line: np.ndarray, zoom: int) -> set[tuple[int, int]]:
-    """All tiles that a line touches: its crossings with the grid cut it into steps inside one tile each."""
+    """All tiles that a line, straight in degrees, touches: its crossings with the grid cut it into steps inside one tile each."""
     n, out = 1 << zoom, set()
-    lat = np.clip(line[:, 1], -MAX_LAT, MAX_LAT)
-    xy = np.stack([(line[:, 0] + 180) / 360 * n, (1 - np.arcsinh(np.tan(np.radians(lat))) / math.pi) / 2 * n], 1)
-    for p, q in zip(xy, xy[1:], strict=False):
+    for p, q in zip(line[:, :2].tolist(), line[1:, :2].tolist(), strict=False):
+        (x0, y0), (x1, y1) = tile_of(*p, zoom), tile_of(*q, zoom)
         cuts = {0.0, 1.0}
-        for a in (0, 1):
-            if q[a] != p[a]:
-                lo, hi = sorted((p[a], q[a]))
-                cuts.update((k - p[a]) / (q[a] - p[a]) for k in range(math.ceil(lo), math.floor(hi) + 1))
-        ts = sorted(cuts)
+        if q[0] != p[0]:
+            cuts.update((k / n * 360 - 180 - p[0]) / (q[0] - p[0]) for k in range(min(x0, x1), max(x0, x1) + 2))
+        if q[1] != p[1]:
+            cuts.update((math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * k / n)))) - p[1]) / (q[1] - p[1]) for k in range(min(y0, y1), max(y0, y1) + 2))
+        ts = sorted(t for t in cuts if 0 <= t <= 1)
         for t in [(a + b) / 2 for a, b in zip(ts, ts[1:], strict=False)] + [0.0, 1.0]:
-            x, y = p + t * (q - p)
-            out.add((min(max(int(x), 0), n - 1), min(max(int(y), 0), n - 1)))
+            out.add(tile_of(p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1]), zoom))
     return out
 
 

@@ -85,3 +85,44 @@ def filled_from(left: DataFrame, inventory: DataFrame, key: str, columns: list[s
     """Missing values from an inventory."""
     inv = inventory.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
     return left.join(inv, key, "left").withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns])
+
+
+def edge_flows(points: DataFrame, key: str, node: str, width_ms: int) -> DataFrame:
+    """``a, b, bin_ms, n``: steps of tracks from one node to another by bin of time."""
+    from pyspark.sql import Window
+
+    before = F.lag(node).over(Window.partitionBy(key).orderBy("start_ms", "feature_id"))
+    steps = points.select(before.alias("a"), F.col(node).alias("b"), timing.bucket(F.col("start_ms"), width_ms).alias("bin_ms"))
+    return steps.where("a IS NOT NULL AND a <> b").groupBy("a", "b", "bin_ms").agg(F.count("*").alias("n"))
+
+
+def daily(points: DataFrame, key: str, value: str, fine_ms: int, wide_ms: int) -> DataFrame:
+    """``key, day_ms, mean, median, hours``: means of fine bins, then of wide ones; missing values count nowhere."""
+    fine = points.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(key, timing.bucket(F.col("start_ms"), fine_ms).alias("_f")).agg(F.avg(value).alias("_v"))
+    return fine.groupBy(key, timing.bucket(F.col("_f"), wide_ms).alias("day_ms")).agg(F.avg("_v").alias("mean"), F.median("_v").alias("median"), F.count("*").alias("hours"))
+
+
+def peak(rows: DataFrame, key: str, time: str, value: str) -> DataFrame:
+    """``key, peak, time``: the largest sum of a moment, the first such moment on a tie."""
+    sums = rows.groupBy(key, F.col(time).alias("time")).agg(F.sum(value).alias("peak"))
+    return sums.groupBy(key).agg(F.min(F.struct((-F.col("peak")).alias("m"), F.col("time"))).alias("b")).select(key, (-F.col("b.m")).alias("peak"), F.col("b.time").alias("time"))
+
+
+def trip_stops(trips: DataFrame, times: DataFrame, stops: DataFrame, routes: DataFrame) -> DataFrame:
+    """Each stop of each trip with its place and route; trips of unknown routes stay."""
+    return times.join(trips, "trip").join(stops, "stop").join(routes, "route", "left")
+
+
+def rolled_up(index: DataFrame, keys: list[str], widths: list[int]) -> DataFrame:
+    """``keys, width_ms, bucket_ms, n`` at each width, all from the sums of the finest."""
+    wide = index.withColumn("width_ms", F.explode(F.array(*[F.lit(w).cast("long") for w in widths])))
+    return wide.groupBy(*keys, "width_ms", (F.col("bucket_ms") - F.pmod("bucket_ms", "width_ms")).alias("bucket_ms")).agg(F.sum("n").alias("n"))
+
+
+def in_moving_boxes(points: DataFrame, boxes: DataFrame, cell_ms: int, cell_deg: float) -> DataFrame:
+    """Points with every box ``west, east, south, north`` that holds them between ``t0`` and ``t1`` (half-open), by cells of time and place."""
+    span = lambda a, b: F.sequence(F.floor(a), F.floor(b))
+    cells = boxes.withColumn("_t", F.explode(span(F.col("t0") / cell_ms, (F.col("t1") - 1) / cell_ms))).withColumn("_x", F.explode(span(F.col("west") / cell_deg, F.col("east") / cell_deg))).withColumn("_y", F.explode(span(F.col("south") / cell_deg, F.col("north") / cell_deg)))
+    at = points.withColumns({"_t": F.floor(F.col("start_ms") / cell_ms), "_x": F.floor(F.col("lon") / cell_deg), "_y": F.floor(F.col("lat") / cell_deg)})
+    inside = (F.col("start_ms") >= F.col("t0")) & (F.col("start_ms") < F.col("t1")) & F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))
+    return at.join(cells, ["_t", "_x", "_y"]).where(inside).drop("_t", "_x", "_y")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tilewright.plans import ordered, profile, shapes, stored, tiling
+from tilewright.plans import codes, ordered, profile, shapes, stored, tiling
 
-_GROUPS = (tiling, profile, ordered, shapes, stored)
+_GROUPS = (tiling, profile, ordered, shapes, stored, codes)
 
 
 def queries() -> dict[str, Callable]:

@@ -146,12 +146,6 @@ def schema_drift(spark, d):
     return checks.schema_drift(part, part.drop("p_type").withColumn("extra", F.lit(1)).withColumn("p_size", F.col("p_size").cast("string")))
 
 
-@C.add("content_addressing", "SELECT count(*) AS items, 0::BIGINT AS wrong FROM (SELECT DISTINCT text FROM benchmark)")
-def content_addressing(spark, d):
-    b = src.table(spark, d, "benchmark").select("text").distinct().withColumn("name", F.sha2("text", 256))
-    return b.agg(F.count("*").alias("items"), F.count(F.when(F.sha2("text", 256) != F.col("name"), 1)).alias("wrong"))
-
-
 # --- scalars
 
 

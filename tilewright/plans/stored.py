@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tilewright.plans.base import DAY, HOUR, T0, Catalogue, placed_sql, x_sql, y_sql
-from tilewright.sources import archive
+from tilewright.sources import archive, packed
 from tilewright.sources import features as src
 from tilewright.streaming import windows
 
@@ -91,3 +91,22 @@ def serve_from_archive(spark, d):
     return archive.tile(spark, _archive(spark, d), 3, 3, 3, T0 + 3 * DAY).select("feature_id", "value")
 
 
+
+
+_COLUMNS = ["feature_id", "start_ms", "lon", "lat", "value"]
+
+
+def _packed(spark, d) -> str:
+    return packed.write(src.points(spark, d), _folder(spark), (2, 5), DAY, _COLUMNS, 100_000, 256)
+
+
+@C.add("packed_viewport", f"WITH {placed_sql(5, DAY)} SELECT zoom, x, y, bucket_ms, feature_id, value FROM placed WHERE x BETWEEN 4 AND 12 AND y BETWEEN 8 AND 20 AND bucket_ms BETWEEN {T0 + 2 * DAY} AND {T0 + 5 * DAY}")
+def packed_viewport(spark, d):
+    p = src.points(spark, d)
+    found = packed.read(spark, _packed(spark, d), p.select(*_COLUMNS).schema, 5, (4, 12), (8, 20), (T0 + 2 * DAY, T0 + 6 * DAY))
+    return found.where(F.col("bucket_ms").between(T0 + 2 * DAY, T0 + 5 * DAY)).select("zoom", "x", "y", "bucket_ms", "feature_id", "value")
+
+
+@C.add("packed_entries", f"WITH {placed_sql(5, DAY)} SELECT z AS zoom, {x_sql('z')} AS x, {y_sql('z')} AS y, bucket_ms, count(*) AS n, min(start_ms) AS cover_t_min, max(end_ms) AS time_end FROM placed, range(2, 6) t(z) GROUP BY ALL")
+def packed_entries(spark, d):
+    return packed.entries(spark, _packed(spark, d)).select("zoom", "x", "y", "bucket_ms", "n", "cover_t_min", "time_end")
