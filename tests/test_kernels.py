@@ -130,3 +130,35 @@ def test_duckdb_scan(spark, tmp_path):
     want = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "value")
     assert got.select("event_id", "value").exceptAll(want).count() == 0 and got.count() == want.count()
     assert duck.scan(spark, path, query="SELECT user_id, count(*) AS n FROM events GROUP BY 1").count() == want.sparkSession.read.parquet(f"{SF}/events.parquet").select("user_id").distinct().count()
+
+
+def test_geoparquet_round_trip(spark, tmp_path):
+    p = src.points(spark, SF).select("feature_id", "lon", "lat", "start_ms", "end_ms", "value", "event_type")
+    src.write_geoparquet(p, f"file://{tmp_path}/g")
+    meta = src.footer(spark, f"file://{tmp_path}/g")
+    assert meta["primary_column"] == "geometry" and meta["columns"]["geometry"]["covering"]["bbox"]["xmin"] == ["bbox", "xmin"]
+    back = src.read_geoparquet(spark, f"file://{tmp_path}/g", "start_ms", "end_ms", "feature_id", exclude=["event_type"], where="bbox.xmin > -20")
+    assert "event_type" not in back.columns
+    want = {tuple(r) for r in p.where("lon > -20").select("feature_id", "lon", "lat", "start_ms", "value").collect()}
+    assert {tuple(r) for r in back.select("feature_id", "lon", "lat", "start_ms", "value").collect()} == want
+    one = src.read_geoparquet(spark, f"file://{tmp_path}/g", "start_ms")
+    again = src.read_geoparquet(spark, f"file://{tmp_path}/g", "start_ms")
+    assert one.select("feature_id").exceptAll(again.select("feature_id")).count() == 0
+
+
+def test_other_reference_systems_are_refused(spark, tmp_path):
+    import json
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    geo = {"primary_column": "shape", "columns": {"shape": {"encoding": "WKB", "crs": {"id": {"authority": "EPSG", "code": 3857}}}}}
+    t = pa.table({"shape": pa.array([src.encode_wkb("point", [[(1.0, 2.0)]])], pa.binary()), "t": [5], "vt": pa.array([[1, 2]], pa.list_(pa.int64()))})
+    (tmp_path / "m").mkdir()
+    pq.write_table(t.replace_schema_metadata({"geo": json.dumps(geo)}), tmp_path / "m" / "a.parquet")
+    with pytest.raises(ValueError):
+        src.read_geoparquet(spark, f"file://{tmp_path}/m", "t")
+    geo["columns"]["shape"].pop("crs")
+    pq.write_table(t.replace_schema_metadata({"geo": json.dumps(geo)}), tmp_path / "m" / "a.parquet")
+    r = src.read_geoparquet(spark, f"file://{tmp_path}/m", "t", vertex_times="vt", unit="s").first()
+    assert (r["lon"], r["lat"], r["start_ms"], r["vt"]) == (1.0, 2.0, 5000, [1000, 2000])

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.functions import space, timing, values
+from tilewright.functions import codes, space, timing, values
 
 WGS84_NAMES = ("OGC:CRS84", "EPSG:4326", "CRS84", "WGS 84", "WGS84")
 GEOMETRY_NAMES = ("geometry", "geom", "wkb_geometry", "wkb", "shape", "the_geom")
@@ -41,17 +41,6 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(o, li.l_orderkey == o.o_orderkey).select("l_orderkey", "l_linenumber", "o_custkey", "l_suppkey", a.alias("raw_start"), b.alias("raw_end"), F.least(a, b).alias("start_ms"), F.greatest(a, b).alias("end_ms"))
 
 
-def geo_metadata(path: str) -> dict | None:
-    """The ``geo`` footer of a local Parquet file; None if absent or malformed."""
-    import pyarrow.parquet as pq
-
-    raw = (pq.read_metadata(path).metadata or {}).get(b"geo")
-    try:
-        return json.loads(raw) if raw else None
-    except ValueError:
-        return None
-
-
 def is_wgs84(crs: object) -> bool:
     """Accepts the absent default, names and PROJJSON ids of longitude and latitude on WGS 84."""
     if crs is None:
@@ -231,3 +220,96 @@ def write_features(df: DataFrame, path: str, partition_by: Iterator[str] = ()) -
     box = F.struct(F.col("lon").alias("xmin"), F.col("lat").alias("ymin"), F.col("lon").alias("xmax"), F.col("lat").alias("ymax"))
     w = df.withColumn("bbox", box).write.option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+
+
+# --- GeoParquet
+
+
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """The Parquet files of a path on any file system that Spark reads, by name."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    found = [str(s.getPath().toString()) for s in fs.listStatus(p)]
+    return sorted(f for f in found if f.endswith(".parquet"))
+
+
+def footer(spark: SparkSession, path: str, key: str = "geo") -> dict | None:
+    """One key of the footer of a dataset's first file, read where the data is; None if absent or malformed."""
+    files = data_files(spark, path)
+    if not files:
+        return None
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    file = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(files[0]), conf)
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(file)
+    try:
+        raw = reader.getFooter().getFileMetaData().getKeyValueMetaData().get(key)
+    finally:
+        reader.close()
+    try:
+        return json.loads(raw) if raw else None
+    except ValueError:
+        return None
+
+
+def vertex_ms(df: DataFrame, column: str, unit: str = "ms") -> Column:
+    """An array of vertex times as milliseconds, whatever they are written as."""
+    kind = dict(df.dtypes)[column]
+    return F.transform(column, lambda t: timing.of_timestamp(t) if "timestamp" in kind else timing.to_ms(t, unit))
+
+
+def read_geoparquet(spark: SparkSession, path: str, time_col: str, end_col: str | None = None, id_col: str | None = None, include: list[str] | None = None, exclude: list[str] = (), vertex_times: str | None = None, unit: str = "ms", strict: bool = True, where: str | None = None) -> DataFrame:
+    """A GeoParquet dataset as features with a ``feature_id``.
+
+    The footer names the geometry column and its reference system, which must be
+    degrees on WGS 84. ``include`` and ``exclude`` choose properties before
+    anything is read; the filter reaches the files.
+    """
+    meta, df = footer(spark, path), spark.read.parquet(path)
+    geometry = geometry_column(df.columns, meta)
+    declared = ((meta or {}).get("columns") or {}).get(geometry) if isinstance(geometry, str) else None
+    if declared and not is_wgs84(declared.get("crs")):
+        raise ValueError(f"{path}: {geometry} is not in degrees on WGS 84; reproject it first")
+    needed = {time_col, end_col, id_col, vertex_times, *([geometry] if isinstance(geometry, str) else geometry)} - {None}
+    if where:
+        df = df.where(where)
+    df = df.select(*[c for c in df.columns if c in needed or (include is None or c in include) and c not in exclude and c != "bbox"])
+    if vertex_times:
+        df = df.withColumn(vertex_times, vertex_ms(df, vertex_times, unit))
+    out = read_features(df, time_col, end_col, geometry, unit, strict)
+    return out.withColumn("feature_id", codes.feature_id(F.col(id_col) if id_col else None, F.col("lon"), F.col("lat"), F.col("start_ms")))
+
+
+def write_geoparquet(df: DataFrame, path: str) -> None:
+    """Point features as GeoParquet 1.1: WKB geometries, a covering box, and a footer that names them and their bounds.
+
+    Each partition replaces a file named by its number, so a task that runs
+    again leaves nothing twice.
+    """
+    import struct
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        t = pa.Table.from_batches(rows)
+        lon, lat = t.column("lon").to_pylist(), t.column("lat").to_pylist()
+        box = pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in (lon, lat, lon, lat)], names=["xmin", "ymin", "xmax", "ymax"])
+        t = t.drop_columns(["lon", "lat"]).append_column("geometry", pa.array([struct.pack("<BIdd", 1, 1, a, b) for a, b in zip(lon, lat, strict=True)], pa.binary())).append_column("bbox", box)
+        covering = {"bbox": {k: ["bbox", k] for k in ("xmin", "ymin", "xmax", "ymax")}}
+        column = {"encoding": "WKB", "geometry_types": ["Point"], "bbox": [min(lon), min(lat), max(lon), max(lat)], "covering": covering}
+        geo = {"version": "1.1.0", "primary_column": "geometry", "columns": {"geometry": column}}
+        where, root = fs.FileSystem.from_uri(path)
+        where.create_dir(root)
+        number = TaskContext.get().partitionId()
+        with where.open_output_stream(f"{root}/part-{number:06d}.parquet") as out:
+            pq.write_table(t.replace_schema_metadata({"geo": json.dumps(geo)}), out, compression="zstd")
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32())], names=["part"])
+
+    df.where(space.valid(F.col("lon"), F.col("lat"))).mapInArrow(run, "part int").count()
