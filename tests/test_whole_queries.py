@@ -30,7 +30,12 @@ def test_interval_overlap_all(spark):
     assert any(i // 10 % 40 for _, i, _, _, _ in got)
 
 
-def test_grid_nearest_match_all(spark):
+def test_interval_overlap_has_every_order(spark):
+    rows = catalogue.queries()["interval_overlap"](spark, SF).select("a", "b").collect()
+    assert len({r["a"] // 10 % 40 for r in rows} | {r["b"] // 10 % 40 for r in rows}) == 40
+
+
+def test_grid_nearest_match(spark):
     pts = [(r["event_id"], -180 + r["user_id"] * 7919 % 24 * 15.0 + r["event_id"] * 31 % 500 / 100, -60 + r["user_id"] * 104729 % 9 * 13.0 + r["event_id"] * 17 % 400 / 100) for r in table("events")]
     right = np.array([p[1:] for p in pts if p[0] % 2 == 0])
     want = {}
@@ -39,11 +44,11 @@ def test_grid_nearest_match_all(spark):
             d2 = ((right - (x, y)) ** 2).sum(1).min()
             if d2 <= 1:
                 want[i] = round(d2, 9)
-    got = {r["a"]: r["d2"] for r in catalogue.queries()["grid_nearest_match_all"](spark, SF).collect()}
+    got = {r["a"]: r["d2"] for r in catalogue.queries()["grid_nearest_match"](spark, SF).collect()}
     assert got == pytest.approx(want, abs=2e-9)
 
 
-def test_ring_area_all(spark):
+def test_ring_area(spark):
     want = {r["event_id"]: (r["event_id"] % 17 * 0.5 + 0.5) * (r["event_id"] % 11 * 0.5 + 0.5) for r in table("events")}
-    rows = catalogue.queries()["ring_area_all"](spark, SF).collect()
+    rows = catalogue.queries()["ring_area"](spark, SF).collect()
     assert len(rows) == len(want) and {r["id"]: r["area"] for r in rows} == pytest.approx(want, abs=1e-4)

@@ -112,20 +112,21 @@ def as_of_join(spark, d):
     return joins.as_of(p.where("event_type = 'purchase'").select("feature_id", "user_id", "start_ms"), right, "user_id", "start_ms", "seen_ms", ["seen"]).select("feature_id", "user_id", "seen")
 
 
-@C.add("interval_overlap", f"WITH {SPANS}, s AS (SELECT l_suppkey % 50 AS k, l_orderkey * 10 + l_linenumber AS id, start_ms, end_ms FROM spans WHERE l_orderkey % 40 = 0) SELECT a.k, a.id AS a, b.id AS b, greatest(a.start_ms, b.start_ms) AS start_ms, least(a.end_ms, b.end_ms) AS end_ms FROM s a JOIN s b ON a.k = b.k AND a.id < b.id AND a.start_ms <= b.end_ms AND b.start_ms <= a.end_ms")
+@C.add("interval_overlap", f"WITH {SPANS}, s AS (SELECT l_partkey AS k, l_orderkey * 10 + l_linenumber AS id, start_ms, end_ms FROM spans JOIN lineitem USING (l_orderkey, l_linenumber)) SELECT a.k, a.id AS a, b.id AS b, greatest(a.start_ms, b.start_ms) AS start_ms, least(a.end_ms, b.end_ms) AS end_ms FROM s a JOIN s b ON a.k = b.k AND a.id < b.id AND a.start_ms <= b.end_ms AND b.start_ms <= a.end_ms")
 def interval_overlap(spark, d):
-    """Overlaps among the orders that the SQL compares, one in 40; ``interval_overlap_all`` joins all spans."""
-    return _overlaps(src.intervals(spark, d).where(F.col("l_orderkey") % 40 == 0))
+    """Overlapping spans of one part, over all of lineitem."""
+    li = src.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return _overlaps(src.intervals(spark, d).join(li, ["l_orderkey", "l_linenumber"]), F.col("l_partkey"))
 
 
 @C.add("interval_overlap_all")
 def interval_overlap_all(spark, d):
-    """Overlaps among all spans."""
-    return _overlaps(src.intervals(spark, d))
+    """Overlaps among all spans of 50 groups of suppliers: some hundred times as many pairs."""
+    return _overlaps(src.intervals(spark, d), F.col("l_suppkey") % 50)
 
 
-def _overlaps(spans):
-    s = spans.select((F.col("l_suppkey") % 50).alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "start_ms", "end_ms")
+def _overlaps(spans, key):
+    s = spans.select(key.alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "start_ms", "end_ms")
     return joins.overlapping(s.withColumnRenamed("id", "a"), s.withColumnRenamed("id", "b"), "k", 30 * DAY).where("a < b")
 
 
@@ -179,20 +180,12 @@ def calendar_active_services(spark, d):
 
 @C.add(
     "grid_nearest_match",
-    f"""WITH {POINTS}, a AS (SELECT feature_id AS a, lon AS x, lat AS y FROM pts WHERE feature_id % 5 = 1), b AS (SELECT feature_id AS b, lon AS x, lat AS y FROM pts WHERE feature_id % 5 = 2),
-    j AS (SELECT a, b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM a JOIN b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1), r AS (SELECT *, min(d2) OVER (PARTITION BY a) AS m FROM j WHERE d2 <= 1)
-    SELECT a, round(min(d2), 9) AS d2 FROM r GROUP BY a""",
+    f"""WITH {POINTS}, a AS (SELECT feature_id AS a, lon AS x, lat AS y FROM pts WHERE feature_id % 2 = 1), b AS (SELECT feature_id AS b, lon AS x, lat AS y FROM pts WHERE feature_id % 2 = 0),
+    j AS (SELECT a, b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM a JOIN b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1)
+    SELECT a, round(min(d2), 9) AS d2 FROM j WHERE d2 <= 1 GROUP BY a""",
 )
 def grid_nearest_match(spark, d):
-    """Two of five points against each other, as in the SQL; ``grid_nearest_match_all`` has every point on one side."""
-    p = src.points(spark, d)
-    a, b = (p.where(F.col("feature_id") % 5 == k).select(F.col("feature_id").alias(n), F.col("lon").alias("x"), F.col("lat").alias("y")) for k, n in ((1, "a"), (2, "b")))
-    return joins.nearest_on_grid(a, b, 1.0, 1.0).select("a", F.round("d2", 9).alias("d2"))
-
-
-@C.add("grid_nearest_match_all")
-def grid_nearest_match_all(spark, d):
-    """Points of odd ids against those of even ids."""
+    """Points of odd ids against those of even ids: every point is on one side."""
     p = src.points(spark, d)
     a, b = (p.where(F.pmod("feature_id", F.lit(2)) == k).select(F.col("feature_id").alias(n), F.col("lon").alias("x"), F.col("lat").alias("y")) for k, n in ((1, "a"), (0, "b")))
     return joins.nearest_on_grid(a, b, 1.0, 1.0).select("a", F.round("d2", 9).alias("d2"))

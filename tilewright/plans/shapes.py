@@ -58,16 +58,8 @@ def polygon_clip(spark, d):
     return geometry.clipped_boxes(_boxes(spark, d), 4)
 
 
-@C.add("ring_area", "SELECT event_id AS id, round(((event_id % 17) * 0.5::DOUBLE + 0.5) * ((event_id % 11) * 0.5::DOUBLE + 0.5), 4) AS area FROM events WHERE -180 + ((user_id * 7919) % 24) * 15.0::DOUBLE < 150")
+@C.add("ring_area", "SELECT event_id AS id, round(((event_id % 17) * 0.5::DOUBLE + 0.5) * ((event_id % 11) * 0.5::DOUBLE + 0.5), 4) AS area FROM events")
 def ring_area(spark, d):
-    """Areas of the rings west of 150 degrees, as in the SQL; ``ring_area_all`` measures every ring."""
-    b = _boxes(spark, d).where(F.col("ring_lon")[1] > F.col("ring_lon")[0])
-    p = src.points(spark, d).where((F.lit(-180) + F.pmod(F.col("user_id") * 7919, F.lit(24)) * 15.0) < 150).select(F.col("feature_id").alias("id"))
-    return b.join(p, "id", "left_semi").select("id", F.round(geometry.ring_area(F.col("ring_lon"), F.col("ring_lat")), 4).alias("area"))
-
-
-@C.add("ring_area_all")
-def ring_area_all(spark, d):
     """Areas of all rings, those across the antimeridian unwrapped."""
     lon = geometry.unwrapped(F.col("ring_lon"))
     return _boxes(spark, d).select("id", F.round(geometry.ring_area(lon, F.col("ring_lat")), 4).alias("area"))
