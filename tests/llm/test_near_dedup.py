@@ -58,6 +58,14 @@ def test_components(spark, seed, size, percent):
     assert got == brute(rows, size, percent)
 
 
+def test_components_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    rows = fixture(4)
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df, shingle=3, percent=85).collect()}
+    assert got == brute(rows, 3, 85)
+
+
 def test_rows_without_id(spark):
     df = spark.createDataFrame([(None, "a b c d e f", 1, "x"), (None, "other words here", 1, "x"), (5, "a b c d e f", 1, "x")], SCHEMA)
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect()), key=str)

@@ -18,10 +18,13 @@ and sizes alone tell whether that can be enough. If they do share some, the
 usual prefix filter finds the pair in an order that puts shingles outside H
 first: each x is listed under its first |x| - ceil(s |x|) + 1 shingles outside
 H (all of them if it has fewer). A pair found so is a candidate only if enough
-can be shared: at most min(|x & H|, |y & H|) inside H, and outside it at most
-the common bits of two 256-bit maps plus the shingles that one map merged into
-bits set already. So every link between members of a bucket is
+can be shared: inside H at most min(|x & H|, |y & H|) and at most |H| less the
+bits that the 256-bit maps of H - x and H - y have set between them, and outside
+it at most the common bits of two 256-bit maps plus the shingles that one map
+merged into bits set already. So every link between members of a bucket is
 in the first pass, within a component, or among the candidates of the second.
+Members of one hub are compared in blocks of about ``BLOCK`` by ``BLOCK``, each under
+a key of its own, so no task holds a whole hub.
 
 Defined results: a document without words or text has an empty set, its own id
 as component and is kept. Fewer words than a shingle count as one shingle of
@@ -48,6 +51,8 @@ from tilewright.llm.words import mix, text_buffer, word_hashes
 BANDS, ROWS = 40, 5
 #: So many of the lowest shingles of a list travel with it, to name a pair once; more or fewer change no result.
 LOWEST = 16
+#: Members of a hub are compared in blocks of about so many; more or fewer change no result.
+BLOCK = 512
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -118,10 +123,21 @@ def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     return docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary")
 
 
+def minus(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Elements of p that q lacks, both sorted and neither empty."""
+    return p[q[np.minimum(np.searchsorted(q, p), len(q) - 1)] != p]
+
+
+def bit_map(elements: np.ndarray) -> np.ndarray:
+    bits = np.zeros(256, bool)
+    bits[(elements >> np.uint64(56)).astype(np.int64)] = True
+    return bits
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b, both, either, n, few, extra, bits, merged`` for each pair, on the full sets: sizes of intersection and
-    union, the size of b, b's prefix of shingles outside a (``few``: it has no more of them), the map of all of b's
-    shingles outside a, and how many of them set no bit of their own."""
+    """``a, b, both, either, n, few, extra, bits, merged, gone`` for each pair, on the full sets: sizes of intersection
+    and union, the size of b, b's prefix of shingles outside a (``few``: it has no more of them), the map of all of b's
+    shingles outside a, how many of them set no bit of their own, and the map of a's shingles that b lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -129,16 +145,15 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 rows = []
                 for x, y in zip(batch.column(2), batch.column(3), strict=True):
                     p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    outside = q[p[np.minimum(np.searchsorted(p, q), len(p) - 1)] != q]
+                    outside, lacking = minus(q, p), minus(p, q)
                     n, prefix = len(q) - len(outside), len(q) - -(-percent * len(q) // 100) + 1
-                    bits = np.zeros(256, bool)
-                    bits[(outside >> np.uint64(56)).astype(np.int64)] = True
-                    rows.append((n, len(p) + len(q) - n, len(q), len(outside) <= prefix, outside[:prefix].view(np.int64), np.packbits(bits).view(np.int64), len(outside) - int(bits.sum())))
+                    bits = bit_map(outside)
+                    rows.append((n, len(p) + len(q) - n, len(q), len(outside) <= prefix, outside[:prefix].view(np.int64), np.packbits(bits).view(np.int64), len(outside) - int(bits.sum()), np.packbits(bit_map(lacking)).view(np.int64)))
                 c = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c[i], pa.int64()) for i in range(3)), pa.array(c[3], pa.bool_()), pa.array(c[4], pa.list_(pa.int64())), pa.array(c[5], pa.list_(pa.int64())), pa.array(c[6], pa.int64())], names=["a", "b", "both", "either", "n", "few", "extra", "bits", "merged"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c[i], pa.int64()) for i in range(3)), pa.array(c[3], pa.bool_()), pa.array(c[4], pa.list_(pa.int64())), pa.array(c[5], pa.list_(pa.int64())), pa.array(c[6], pa.int64()), pa.array(c[7], pa.list_(pa.int64()))], names=["a", "b", "both", "either", "n", "few", "extra", "bits", "merged", "gone"])
 
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias("s" + c)) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, both long, either long, n long, few boolean, extra array<long>, bits array<long>, merged long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, both long, either long, n long, few boolean, extra array<long>, bits array<long>, merged long, gone array<long>")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -162,18 +177,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = materialize(components(links), "components")
 
     # Second pass: members of a hub that are still in different components. Of each pair one is outside the hub's largest component.
-    spread = materialize(stars.join(first.withColumnRenamed("id", "b"), "b", "left").select("a", "b", "both", "n", "few", "extra", "bits", "merged", F.coalesce("component_id", "b").alias("c")), "spread")
+    spread = materialize(stars.join(first.withColumnRenamed("id", "b"), "b", "left").select("a", "b", "both", "n", (F.col("either") + F.col("both") - F.col("n")).alias("hub"), "few", "extra", "bits", "merged", "gone", F.coalesce("component_id", "b").alias("c")), "spread")
     discard(stars)
-    by = spread.groupBy("a", "c").agg(F.count("*").alias("k")).groupBy("a").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("a", F.col("top.c").alias("lead"))
-    left = materialize(spread.join(by, "a").withColumn("led", F.col("c") == F.col("lead")).drop("lead"), "split")
+    by = spread.groupBy("a", "c").agg(F.count("*").alias("k"), F.count_if("few").alias("f")).groupBy("a").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts"), F.ceil(F.sum("f") / BLOCK).alias("blocks"))
+    by = by.where("parts > 1").select("a", F.col("top.c").alias("lead"), F.greatest("blocks", F.lit(1).cast("long")).alias("blocks"))
+    words = [F.col(name)[i].alias(f"{name}{i}") for name in ("bits", "gone") for i in range(4)]
+    left = materialize(spread.join(by, "a").withColumn("led", F.col("c") == F.col("lead")).select("a", "b", "both", "n", "hub", "few", "extra", "merged", "c", "led", "blocks", *words), "split")
     apart = (F.col("x.c") != F.col("y.c")) & (F.col("y.led") | (F.col("x.b") < F.col("y.b"))) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
     ends = F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")
-    few = left.where("few").select("a", "b", "both", "n", "c", "led")
     needed = (F.col("x.n") + F.col("y.n")) * percent
-    enough = F.least("x.both", "y.both") * (100 + percent) >= needed
-    inside = few.where("NOT led").alias("x").join(few.alias("y"), F.col("x.a") == F.col("y.a")).where(apart & enough).select(*ends)
-    listed = left.select("a", "b", "both", "n", "c", "led", "merged", F.slice(F.array_sort("extra"), 1, LOWEST).alias("low"), *[F.col("bits")[i].alias(f"b{i}") for i in range(4)], F.explode("extra").alias("s"))
-    common = sum((F.bit_count(F.col(f"x.b{i}").bitwiseAND(F.col(f"y.b{i}"))) for i in range(4)), F.least("x.merged", "y.merged") + F.least("x.both", "y.both"))
+    lacking = sum((F.bit_count(F.col(f"x.gone{i}").bitwiseOR(F.col(f"y.gone{i}"))) for i in range(4)), F.lit(0))
+    within = F.least("x.both", "y.both", F.col("x.hub") - lacking)
+    # Block i of the one side meets block j of the other under the key (a, i, j).
+    own, every = F.pmod(F.xxhash64("b"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    few = left.where("few").select("a", "b", "both", "n", "hub", "c", "led", "blocks", *[f"gone{i}" for i in range(4)])
+    x, y = few.where("NOT led").select("*", own.alias("i"), every.alias("j")), few.select("*", every.alias("i"), own.alias("j"))
+    inside = x.alias("x").join(y.alias("y"), (F.col("x.a") == F.col("y.a")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))).where(apart & (within * (100 + percent) >= needed)).select(*ends)
+    listed = left.drop("few", "blocks").withColumns({"low": F.slice(F.array_sort("extra"), 1, LOWEST), "s": F.explode("extra")}).drop("extra")
+    common = sum((F.bit_count(F.col(f"x.bits{i}").bitwiseAND(F.col(f"y.bits{i}"))) for i in range(4)), F.least("x.merged", "y.merged") + within)
     # A pair is named at the lowest shingle that both lists begin with, or wherever it meets if they begin with none in common.
     lowest = F.array_min(F.array_intersect("x.low", "y.low"))
     once = lowest.isNull() | (lowest == F.col("x.s"))
