@@ -180,9 +180,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spread = materialize(stars.join(first.withColumnRenamed("id", "b"), "b", "left").select("a", "b", "both", "n", (F.col("either") + F.col("both") - F.col("n")).alias("hub"), "few", "extra", "bits", "merged", "gone", F.coalesce("component_id", "b").alias("c")), "spread")
     discard(stars)
     by = spread.groupBy("a", "c").agg(F.count("*").alias("k"), F.count_if("few").alias("f")).groupBy("a").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts"), F.ceil(F.sum("f") / BLOCK).alias("blocks"))
-    by = by.where("parts > 1").select("a", F.col("top.c").alias("lead"), F.greatest("blocks", F.lit(1).cast("long")).alias("blocks"))
+    # Written by itself, so that the join that follows reads shuffles alone and large hubs can be split there.
+    by = materialize(by.where("parts > 1").select("a", F.col("top.c").alias("lead"), F.greatest("blocks", F.lit(1).cast("long")).alias("blocks")), "leads")
     words = [F.col(name)[i].alias(f"{name}{i}") for name in ("bits", "gone") for i in range(4)]
-    left = materialize(spread.join(by, "a").withColumn("led", F.col("c") == F.col("lead")).select("a", "b", "both", "n", "hub", "few", "extra", "merged", "c", "led", "blocks", *words), "split")
+    left = materialize(spread.join(by, "a").withColumn("led", F.col("c") == F.col("lead")).select("a", "b", "both", "n", "hub", "few", "extra", F.slice(F.sort_array("extra"), 1, LOWEST).alias("low"), "merged", "c", "led", "blocks", *words), "split")
     apart = (F.col("x.c") != F.col("y.c")) & (F.col("y.led") | (F.col("x.b") < F.col("y.b"))) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
     ends = F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")
     needed = (F.col("x.n") + F.col("y.n")) * percent
@@ -193,7 +194,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few = left.where("few").select("a", "b", "both", "n", "hub", "c", "led", "blocks", *[f"gone{i}" for i in range(4)])
     x, y = few.where("NOT led").select("*", own.alias("i"), every.alias("j")), few.select("*", every.alias("i"), own.alias("j"))
     inside = x.alias("x").join(y.alias("y"), (F.col("x.a") == F.col("y.a")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))).where(apart & (within * (100 + percent) >= needed)).select(*ends)
-    listed = left.drop("few", "blocks").withColumns({"low": F.slice(F.array_sort("extra"), 1, LOWEST), "s": F.explode("extra")}).drop("extra")
+    listed = left.drop("few", "blocks").withColumn("s", F.explode("extra")).drop("extra")
     common = sum((F.bit_count(F.col(f"x.bits{i}").bitwiseAND(F.col(f"y.bits{i}"))) for i in range(4)), F.least("x.merged", "y.merged") + within)
     # A pair is named at the lowest shingle that both lists begin with, or wherever it meets if they begin with none in common.
     lowest = F.array_min(F.array_intersect("x.low", "y.low"))
@@ -201,7 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     outside = listed.where("NOT led").alias("x").join(listed.alias("y"), (F.col("x.a") == F.col("y.a")) & (F.col("x.s") == F.col("y.s"))).where(apart & (common * (100 + percent) >= needed) & once).select(*ends)
     more = materialize(inside.unionByName(outside).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
     late = materialize(confirm(more, sets, percent).where(linked).select("a", "b"), "late")
-    discard(left, spread, sets, more, member)
+    discard(left, spread, by, sets, more, member)
     if late.isEmpty():
         joined = first
     else:
