@@ -10,6 +10,8 @@ import uuid
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,44 +135,26 @@ _WS = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f
 _SEGMENT = re.compile(f" ?[^{_WS}]+|\\n(?=[^{_WS}])|[{_WS}]+[^{_WS}]*")
 
 
-# White space that plain text lacks: anything but single spaces and line feeds between words.
-_ODD = re.compile(f"[{_WS.replace(chr(92) + 'n', '').replace(' ', '')}]")
-# A full stop or comma that does not follow a letter or digit.
-_LOOSE = re.compile(r"(?:^|[\W_])[.,]")
-
-
-def _segments(text: str) -> list[str]:
-    """The text in order as segments: a word stands for a space and itself, but for those that begin with a line
-    feed, a full stop or a comma, which stand for themselves, as do segments marked by a leading NUL.
-
-    Text with other white space than single spaces and line feeds between words,
-    or with full stops or commas after other signs, is cut by the pattern.
-    """
-    if text[0] not in " \n" and text[-1] not in " \n" and "\0" not in text and "  " not in text and "\n\n" not in text and " \n" not in text and "\n " not in text and not _ODD.search(text) and not _LOOSE.search(text):
-        # A stop or comma after a letter or digit begins a run of signs, so the pre-tokenization cuts before it.
-        out = text.replace(".", " .").replace(",", " ,").replace("\n", " \n").split(" ")
-        out[0] = "\0" + out[0]
-        return out
-    return ["\0" + s for s in _SEGMENT.findall(text)]
-
-
-class _Words(dict):
-    """Ids by segment; a segment that it lacks is noted and gives None."""
-
-    def __init__(self):
-        self.lacking: list[str] = []
-
-    def __missing__(self, segment: str) -> None:
-        self.lacking.append(segment)
+# RE2: texts that are not plain, where the pattern cuts. Plain text has neither NULs nor other white space than single
+# spaces and line feeds between words, and its full stops and commas follow letters or digits.
+_ODD = r"\A[ \n]|[ \n]\z|[ \n]{2}|(?:\A|[^\pL\pN])[.,]|[\x00\t\x0b\x0c\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Words that go to the library as one text.
+_AT_ONCE = 100
 
 
 class WordTokenizer:
-    """Byte-level BPE ids of texts, each distinct word encoded once.
+    """Byte-level BPE ids of texts, each distinct segment encoded once.
 
     ``encode(texts)`` gives one little-endian unsigned 32-bit ``bytes`` value
-    for each text. Ids are those of the tokenizers library on the whole text; texts
-    that hold an added token, such as ``<|endoftext|>``, go to it whole.
-    The cache of words is dropped when it has ``max_words``.
+    for each text of a list or an Arrow column. Ids are those of the tokenizers
+    library on the whole text; texts that hold an added token, such as
+    ``<|endoftext|>``, go to it whole. Segments are cut, numbered and put
+    together again by Arrow; Python sees each once a call. The cache of
+    segments is dropped when it would pass ``max_words``.
+
+    A segment stands for a space and itself, but for those that begin with a
+    line feed, a full stop or a comma, which stand for themselves, as do those
+    marked by a leading NUL.
     """
 
     def __init__(self, path: str, max_words: int = 1_000_000):
@@ -178,13 +162,12 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ids = _Words()
+        self.ids: dict[str, bytes] = {}
         self.max_words = max_words
         self.sizes = self._token_sizes()
 
     def forget(self) -> None:
         self.ids.clear()
-        self.ids.lacking = []
 
     def _token_sizes(self) -> np.ndarray:
         """Bytes of each token."""
@@ -205,7 +188,8 @@ class WordTokenizer:
         for i in range(0, len(joined), 5000):
             part = joined[i : i + 5000]
             plain = [s if s[0] == "\n" else " " + s for s in part]
-            ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            found = self.tokenizer.encode_batch_fast(["".join(plain[j : j + _AT_ONCE]) for j in range(0, len(plain), _AT_ONCE)], add_special_tokens=False)
+            ids = np.concatenate([np.asarray(e.ids, "<u4") for e in found])
             at, ends = np.cumsum(self.sizes[ids]), np.cumsum([len(s.encode()) for s in plain])
             cut = np.searchsorted(at, ends)
             if not (at[cut] == ends).all():
@@ -213,21 +197,42 @@ class WordTokenizer:
             raw, cuts = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()]
             self.ids.update(zip(part, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        known = self.ids
-        if len(known) > self.max_words:
-            known.clear()
-        known.lacking = []
-        get, found, ends = known.__getitem__, [], []
-        for text in texts:
-            if text and any(t in text for t in self.added):
-                found.append([np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()])
-            else:
-                found.append(list(map(get, _segments(text))) if text else [])
-            ends.append(len(known.lacking))
-        self._learn(list(dict.fromkeys(known.lacking)))
-        late = map(get, known.lacking)
-        return [b"".join([x if x is not None else next(late) for x in ids] if a < b else ids) for ids, a, b in zip(found, [0, *ends], ends, strict=False)]
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        lacking = [w for w in words if w not in self.ids]
+        if len(self.ids) + len(lacking) > self.max_words:
+            self.ids.clear()
+            lacking = words
+        self._learn(lacking)
+        return list(map(self.ids.__getitem__, words))
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        column = pc.fill_null(texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), "")
+        odd, whole = pc.match_substring_regex(column, _ODD), np.zeros(len(column), bool)
+        for token in self.added:
+            whole |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
+        empty = pc.binary_length(column).to_numpy() == 0
+        odd = odd.to_numpy(zero_copy_only=False) & ~whole & ~empty
+        out = [b""] * len(column)
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = np.asarray(self.tokenizer.encode(column[i].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+        plain = np.flatnonzero(~(odd | whole | empty))
+        # In plain text a stop or comma begins a run of signs, so the pre-tokenization cuts before it.
+        marked = pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), column.take(pa.array(plain, pa.int64())), pa.scalar("", pa.large_string()))
+        for sign in ".,\n":
+            marked = pc.replace_substring(marked, sign, " " + sign)
+        lists = pc.split_pattern(marked, " ")
+        odd = np.flatnonzero(odd)
+        by_pattern = [["\0" + s for s in _SEGMENT.findall(t)] for t in column.take(pa.array(odd, pa.int64())).to_pylist()]
+        counts = np.concatenate([pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), np.asarray([len(s) for s in by_pattern], np.int64)])
+        segments = pa.concat_arrays([lists.flatten(), pa.array([s for own in by_pattern for s in own], pa.large_string())]).dictionary_encode()
+        if not len(segments):
+            return out
+        ids = pa.array(self._ids_of(segments.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(segments.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1][np.cumsum([0, *counts])].tolist()
+        body = memoryview(ids.buffers()[2] or b"")
+        for i, a, b in zip(np.concatenate([plain, odd]).tolist(), ends, ends[1:], strict=False):
+            out[i] = bytes(body[a:b])
+        return out
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -251,8 +256,6 @@ def forget_words() -> None:
 
 def slices(batch, most_bytes: int = 4_000_000, column: str | int = "text"):
     """Parts of an Arrow batch with about ``most_bytes`` of text each, one row at least."""
-    import pyarrow.compute as pc
-
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     block = np.cumsum(sizes) // most_bytes
     cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]

@@ -129,8 +129,8 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None
         wide = 2 if len(words.sizes) <= 1 << 16 else 4
         end, head = np.asarray([END_ID], "<u4").tobytes(), bytes([wide])
         for whole in batches:
-            for batch in slices(whole, 1_000_000):
-                raw = words.encode(batch.column(1).to_pylist())
+            for batch in slices(whole):
+                raw = words.encode(batch.column(1))
                 sizes = [len(r) // 4 + 1 for r in raw]
                 every = np.frombuffer(end.join([*raw, b""]), "<u4").astype(f"<u{wide}")
                 firsts = np.cumsum([0, *sizes])

@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         for whole in batches:
             for batch in slices(whole):
                 rows = []
-                for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+                for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                     ids += end
                     n = len(ids) // 4
                     first = n if n <= limit else n % limit or limit
