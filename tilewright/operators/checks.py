@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,16 @@ def count_mismatches(directory: DataFrame, decoded: DataFrame, keys: list[str])
     """Tiles whose declared count differs from the rows found, missing ones included."""
     found = decoded.groupBy(*keys).agg(F.count("*").alias("found"))
     return directory.select(*keys, F.col("n").alias("declared")).join(found, keys, "full_outer").where(~F.col("declared").eqNullSafe(F.col("found")))
+
+
+def lod_bucket(stamped: Column, consumes: Column, width_ms: int) -> Column:
+    """``ok``, ``warn`` or ``mismatch``: whether the bucket that zoom floors were made for is this build's.
+
+    ``stamped`` is the bucket an input declares, or null; ``consumes`` whether the build reads its floors.
+    """
+    return F.when(stamped.isNotNull() & consumes, F.when(stamped == width_ms, "ok").otherwise("mismatch")).when(stamped.isNull() & ~consumes, "ok").otherwise("warn")
+
+
+def missing_capabilities(required: DataFrame, declared: DataFrame, keys: list[str]) -> DataFrame:
+    """What is required but not declared; empty if the declaration holds."""
+    return required.select(*keys).distinct().join(declared.select(*keys), keys, "left_anti")

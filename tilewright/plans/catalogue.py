@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tilewright.plans import codes, ordered, profile, shapes, stored, tiling
+from tilewright.plans import codes, ordered, profile, shapes, stored, tiling, vertices
 
-_GROUPS = (tiling, profile, ordered, shapes, stored, codes)
+_GROUPS = (tiling, profile, ordered, shapes, stored, codes, vertices)
 
 
 def queries() -> dict[str, Callable]:
