@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import discard, materialize, slices
+from tilewright.llm.common import discard, frugal, materialize, slices
 from tilewright.llm.words import mix, text_buffer, word_hashes
 
 OVERLAP = 13
@@ -102,7 +102,7 @@ def benchmark_items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFra
                 item += len(parts)
 
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(run, "item long, item_id long, n long, words binary").where("n > 0")
+    return rows.mapInArrow(frugal(run), "item long, item_id long, n long, words binary").where("n > 0")
 
 
 def benchmark_seeds(items: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def benchmark_seeds(items: DataFrame) -> DataFrame:
                     size = len(h)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(size, mask_number(mask), np.int32)), pa.array(h.view(np.int64)), pa.array(np.full(size, item, np.int64)), pa.array(np.full(size, n, np.int64)), pa.array(np.arange(size, dtype=np.int64))], names=["mask", "seed", "item", "n", "at"])
 
-    return items.select("item", "n", "words").mapInArrow(run, "mask int, seed long, item long, n long, at long")
+    return items.select("item", "n", "words").mapInArrow(frugal(run), "mask int, seed long, item long, n long, at long")
 
 
 def seed_map(held: DataFrame) -> np.ndarray:
@@ -143,7 +143,7 @@ def seed_map(held: DataFrame) -> np.ndarray:
         return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([np.bitwise_or.reduce(parts, axis=0).tobytes()], pa.binary())})
 
     out = np.zeros(bits // 8, np.uint8)
-    for block, own in held.select("seed").mapInArrow(mark, "block int, bits binary").groupBy("block").applyInArrow(unite, "block int, bits binary").collect():
+    for block, own in held.select("seed").mapInArrow(frugal(mark), "block int, bits binary").groupBy("block").applyInArrow(unite, "block int, bits binary").collect():
         out[block * _BLOCK : (block + 1) * _BLOCK] = np.frombuffer(own, np.uint8)
     return out
 
@@ -173,7 +173,7 @@ def document_hits(docs: DataFrame, table: np.ndarray, masks: list[str]) -> DataF
                     yield pa.RecordBatch.from_arrays([pa.array(row + hit), batch.column(0).take(pa.array(hit)), pa.array((at[hit + 1] - at[hit]).astype(np.int64)), pa.array([words[at[i] : at[i + 1]].tobytes() for i in hit.tolist()], pa.binary()), lists], names=["row", "doc_id", "n_words", "words", "hits"])
                 row += batch.num_rows
 
-    return docs.mapInArrow(run, "row long, doc_id long, n_words long, words binary, hits array<struct<mask int, seed long, place long>>")
+    return docs.mapInArrow(frugal(run), "row long, doc_id long, n_words long, words binary, hits array<struct<mask int, seed long, place long>>")
 
 
 def verified(facing: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def verified(facing: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["row", "doc_id", "item", "n_equal", "first_word"])
 
-    return facing.select("row", "doc_id", "item", "n", "first", "dw", "iw").mapInArrow(run, "row long, doc_id long, item long, n_equal long, first_word long")
+    return facing.select("row", "doc_id", "item", "n", "first", "dw", "iw").mapInArrow(frugal(run), "row long, doc_id long, item long, n_equal long, first_word long")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import slices
+from tilewright.llm.common import frugal, slices
 
 UNKNOWN = "und"
 WINDOW = 256
@@ -190,4 +190,4 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     best[own], score[own] = prob.argmax(1), prob.max(1)
                 yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(languages[best].tolist(), pa.string()), pa.array(score)], names=names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(frugal(run), schema)

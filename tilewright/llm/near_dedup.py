@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import discard, materialize, slices
+from tilewright.llm.common import discard, frugal, materialize, slices
 from tilewright.llm.components import components
 from tilewright.llm.words import mix, text_buffer, word_hashes
 
@@ -106,7 +106,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                     bands.append(band_keys(sketch(own)) if len(own) else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "print", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, print binary, bands array<long>")
+    return docs.mapInArrow(frugal(run), "doc_id long, n long, print binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
@@ -120,7 +120,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
     # A merge join at every size, so that what is written grows in proportion.
-    return docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary")
+    return docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(frugal(run), "doc_id long, shingles binary")
 
 
 def minus(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -153,7 +153,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c[i], pa.int64()) for i in range(3)), pa.array(c[3], pa.bool_()), pa.array(c[4], pa.list_(pa.int64())), pa.array(c[5], pa.list_(pa.int64())), pa.array(c[6], pa.int64()), pa.array(c[7], pa.list_(pa.int64()))], names=["a", "b", "both", "either", "n", "few", "extra", "bits", "merged", "gone"])
 
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias("s" + c)) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, both long, either long, n long, few boolean, extra array<long>, bits array<long>, merged long, gone array<long>")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(frugal(run), "a long, b long, both long, either long, n long, few boolean, extra array<long>, bits array<long>, merged long, gone array<long>")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.llm.common import materialize, slices, text_bytes
+from tilewright.llm.common import frugal, materialize, slices, text_bytes
 from tilewright.llm.words import _tables, mix, text_buffer
 
 SIZE = 50
@@ -166,7 +166,7 @@ def pack_runs(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
         if ids:
             yield done()
 
-    return docs.mapInArrow(run, "run long, ids binary, offsets binary, data binary, carried binary")
+    return docs.mapInArrow(frugal(run), "run long, ids binary, offsets binary, data binary, carried binary")
 
 
 def _stream(batches: list[pa.RecordBatch]) -> bytes:
@@ -195,7 +195,7 @@ def anchor_hashes(runs: DataFrame, n_buckets: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["run", "bucket", "hashes"])
 
-    return runs.mapInArrow(run, "run long, bucket int, hashes binary")
+    return runs.mapInArrow(frugal(run), "run long, bucket int, hashes binary")
 
 
 def _groups(key: np.ndarray, *values: np.ndarray):
@@ -341,7 +341,7 @@ def run_suffixes(joined: DataFrame, n_buckets: int) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([None], pa.int32()), pa.array([_join(held)], pa.binary())], schema=schema)
 
-    return joined.mapInArrow(run, "run long, bucket int, blob binary")
+    return joined.mapInArrow(frugal(run), "run long, bucket int, blob binary")
 
 
 # --- step 3
@@ -540,7 +540,7 @@ def cut(joined: DataFrame, with_text: bool = False, carried: T.StructType | None
                 if rows:
                     yield _batch(rows, names, more, first)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(frugal(run), schema)
 
 
 def _batch(rows: list, names: list[str], more: pa.ChunkedArray | None, first: int) -> pa.RecordBatch:
