@@ -21,6 +21,12 @@ class Table:
     def where(self, condition):
         return self
 
+    def join(self, *others):
+        return self
+
+    def hint(self, name):
+        return self
+
 
 @pytest.mark.parametrize("operator", [lambda t: near_dedup.sketches(t, 3), suffix_dedup.pack_runs, lambda t: decontaminate.benchmark_items(t, "doc_id", "text")])
 def test_tasks_without_words_forget_those_of_earlier_tasks(spark, operator):
@@ -32,6 +38,17 @@ def test_tasks_without_words_forget_those_of_earlier_tasks(spark, operator):
     assert not words.ids
 
 
+def test_comparisons_of_near_copies_forget_words_too(spark):
+    words, batch = word_tokenizer(default_tokenizer()), pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b c d", "e f g h"])], names=["doc_id", "text"])
+    words.encode(["some words of an earlier task"])
+    sets = pa.concat_arrays([b.column(1) for b in near_dedup.full_sets(Table(), Table(), 3).run(iter([batch]))])
+    assert not words.ids
+    words.encode(["some words of an earlier task"])
+    pairs = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), sets[:1], sets[1:]], names=["a", "b", "sa", "sb"])
+    assert [b.column(3).to_pylist() for b in near_dedup.confirm(Table(), Table(), 85).run(iter([pairs]))] == [[4]]
+    assert not words.ids
+
+
 def test_written_tables_are_handed_over_in_bounded_batches(spark):
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
