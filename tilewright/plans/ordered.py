@@ -126,8 +126,7 @@ def interval_overlap_all(spark, d):
 
 
 def _overlaps(spans, key):
-    s = spans.select(key.alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "start_ms", "end_ms")
-    return joins.overlapping(s.withColumnRenamed("id", "a"), s.withColumnRenamed("id", "b"), "k", 30 * DAY).where("a < b")
+    return joins.overlapping(spans.select(key.alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "start_ms", "end_ms"), "k")
 
 
 @C.add("anti_unmatched", "SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
