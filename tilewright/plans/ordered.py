@@ -187,7 +187,7 @@ def grid_nearest_match(spark, d):
     """Points of odd ids against those of even ids: every point is on one side."""
     p = src.points(spark, d)
     a, b = (p.where(F.pmod("feature_id", F.lit(2)) == k).select(F.col("feature_id").alias(n), F.col("lon").alias("x"), F.col("lat").alias("y")) for k, n in ((1, "a"), (0, "b")))
-    return joins.nearest_on_grid(a, b, 1.0, 1.0).select("a", F.round("d2", 9).alias("d2"))
+    return joins.nearest_on_grid(a, b, 1.0, 1.0, ids=False).select("a", F.round("d2", 9).alias("d2"))
 
 
 @C.add("inventory_fill", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END, n_name) AS label FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
