@@ -2,7 +2,7 @@
 
 import random
 
-from tilewright.operators import joins
+from tilewright.operators import joins, ordered, payload, profile
 
 
 def test_overlaps_over_several_blocks(spark):
@@ -13,3 +13,43 @@ def test_overlaps_over_several_blocks(spark):
     want = sorted((k, i, j, max(s, u), min(e, v)) for k, i, s, e in rows for m, j, u, v in rows if k is not None and k == m and i < j and s <= v and u <= e)
     for block in (4, 4096):
         assert sorted(map(tuple, joins.overlapping(df, "k", block).collect())) == want
+
+
+def test_nearest_in_a_crowd_and_alone(spark):
+    rng = random.Random(6)
+    spot = lambda: (rng.choice([0.5, 0.51, 3.0, -0.0, rng.uniform(-2, 2)]), rng.choice([0.5, 0.25, rng.uniform(-2, 2)]))
+    a, b = [(i, *spot()) for i in range(120)], [(i, *spot()) for i in range(120)]
+    left, right = spark.createDataFrame([*a, (-1, None, 0.5)], "a long, x double, y double"), spark.createDataFrame([*b, (-1, 0.5, None)], "b long, x double, y double")
+    want = {}
+    for i, x, y in a:
+        d2, j = min(((x - u) * (x - u) + (y - v) * (y - v), j) for j, u, v in b)
+        if d2 <= 0.81:
+            want[i] = (j, d2)
+    assert {r["a"]: (r["b"], r["d2"]) for r in joins.nearest_on_grid(left, right, 1.0, 0.9).collect()} == want
+    assert {r["a"]: r["d2"] for r in joins.nearest_on_grid(left, right, 1.0, 0.9, ids=False).collect()} == {i: d for i, (_, d) in want.items()}
+
+
+def test_nearest_sorts_no_candidates(spark):
+    p = spark.range(10).selectExpr("id AS a", "id * 1.0D AS x", "id * 1.0D AS y")
+    plan = joins.nearest_on_grid(p, p.withColumnRenamed("a", "b"), 1.0, 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
+def test_ranges_agree_when_branches_merge_partitions(spark):
+    df = spark.range(5000).selectExpr("id * 37 % 5000 AS k", "id % 7 AS n", "concat(sha2(id || 'a', 512), sha2(id || 'b', 512)) AS wide").repartition(16)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst")}
+    for c, v in zip(before, ("32", "24k", "false")):
+        spark.conf.set(c, v)
+    try:
+        assert "PARTITION_ID" not in ordered.stride(df, 300, ["k"])._jdf.queryExecution().toString().upper()  # ids differ by branch
+        assert sorted(r["k"] for r in ordered.stride(df, 300, ["k"]).collect()) == list(range(0, 5000, 17))
+        at = 0
+        for r in sorted(payload.running(df, ["k"], "n").collect(), key=lambda r: r["k"]):
+            assert (r["start"], r["end"]) == (at, at + r["n"])
+            at = r["end"]
+        assert {r["v"]: r["upto"] for r in profile.running_counts(df.selectExpr("CASE WHEN k > 0 THEN k END AS v", "1L AS n")).collect()} == {k or None: k + 1 for k in range(5000)}
+        t = df.selectExpr("k AS user_id", "k DIV 3 AS start_ms", "wide")
+        assert {r["user_id"]: r["dense"] for r in ordered.dense_numbers(t, "user_id").collect()} == {k: k for k in range(5000)}
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import space
+from tilewright.operators import ranges
 
 
 def segments(features: DataFrame, key: str, gap_ms: int, least_points: int = 2, max_lon_step: float = 180.0) -> DataFrame:
@@ -60,17 +61,14 @@ def vertex_times(features: DataFrame, key: str) -> DataFrame:
 def dense_numbers(features: DataFrame, key: str) -> DataFrame:
     """``key, dense``: 0, 1, … by first appearance (start, key).
 
-    Ranks are counted in two levels: range partitions are numbered inside, and
-    the sizes of those before (one row a partition) are added, so no task sees
+    Ranks are counted in two levels: ranges are numbered inside, and
+    the sizes of those before (one row a range) are added, so no task sees
     all keys.
     """
     first = features.groupBy(key).agg(F.min("start_ms").alias("first_ms"))
-    parted = first.repartitionByRange(F.col("first_ms"), F.col(key)).sortWithinPartitions("first_ms", key).withColumn("_p", F.spark_partition_id())
+    parted, _ = ranges.dealt(first, ["first_ms", key])
     nth = F.row_number().over(Window.partitionBy("_p").orderBy("first_ms", key)) - 1
-    numbered = parted.withColumn("_i", nth)
-    sizes = numbered.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return numbered.join(sizes.select("_p", before.alias("_b")), "_p").select(key, "first_ms", (F.col("_b") + F.col("_i")).cast("long").alias("dense"))
+    return parted.select(key, "first_ms", (F.col("_b") + nth).cast("long").alias("dense"))
 
 
 def row_ids(placed: DataFrame, keys: tuple[str, ...] = ("zoom", "x", "y", "bucket_ms")) -> DataFrame:
@@ -174,13 +172,11 @@ def stratified(tiles: DataFrame, size: int, weight: str = "n", strata: tuple[str
 
 
 def stride(df: DataFrame, most: int, order: list[str]) -> DataFrame:
-    """Every ceil(n / most)-th row in order: rows are numbered within range partitions, which then learn how many come before."""
-    step = max(1, -(-df.count() // most))
-    parted = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    """Every ceil(n / most)-th row in order: rows are numbered within ranges, which then learn how many come before."""
+    parted, n = ranges.dealt(df, order)
+    step = max(1, -(-n // most))
     numbered = parted.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
-    sizes = numbered.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return numbered.join(F.broadcast(sizes.select("_p", before.alias("_b"))), "_p").where((F.col("_b") + F.col("_i")) % step == 0).select(*df.columns)
+    return numbered.where((F.col("_b") + F.col("_i")) % step == 0).select(*df.columns)
 
 
 def resample(features: DataFrame, key: str, every_ms: int) -> DataFrame:

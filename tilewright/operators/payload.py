@@ -16,6 +16,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+
+from tilewright.operators import ranges
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -79,11 +81,8 @@ def blobs(tiles: DataFrame) -> DataFrame:
 
 def running(rows: DataFrame, order: list[str], size: str) -> DataFrame:
     """Adds ``start`` and ``end``, the running sum of ``size`` before and up to each row in order."""
-    parted = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    inside = parted.withColumn("_e", F.sum(size).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    sums = inside.groupBy("_p").agg(F.sum(size).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = inside.join(F.broadcast(sums.select("_p", before.alias("_b"))), "_p")  # one row a partition
+    parted, _ = ranges.dealt(rows, order, size)
+    out = parted.withColumn("_e", F.sum(size).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     end = F.col("_b") + F.col("_e")
     return out.withColumns({"start": end - F.col(size), "end": end}).drop("_p", "_b", "_e")
 

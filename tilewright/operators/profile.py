@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import timing, values
-from tilewright.operators import tiling
+from tilewright.operators import ranges, tiling
 
 DAY = 86_400_000
 MAX_CATEGORIES, MAX_DICTIONARY_BYTES = 1024, 4096
@@ -65,15 +65,11 @@ def time_quantiles(features: DataFrame, bins: int, quantiles: list[float]) -> Da
 def running_counts(counted: DataFrame, value: str = "v", n: str = "n") -> DataFrame:
     """Adds ``upto``, the sum of ``n`` over all values up to a row's, and ``total``.
 
-    Range partitions are summed inside, then the sums of those before (one row
-    a partition) are added, so no task sees all values.
+    Ranges are summed inside, then the sums of those before (one row a range) are added, so no task sees all values.
     """
-    parted = counted.repartitionByRange(F.col(value)).sortWithinPartitions(value).withColumn("_p", F.spark_partition_id())
+    parted, total = ranges.dealt(counted, [value], n)
     inside = parted.withColumn("_u", F.sum(n).over(Window.partitionBy("_p").orderBy(value)))
-    sums = inside.groupBy("_p").agg(F.sum(n).alias("_n"))
-    w = Window.orderBy("_p")
-    before = sums.select("_p", (F.sum("_n").over(w) - F.col("_n")).alias("_b"), F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
-    return inside.join(F.broadcast(before), "_p").withColumn("upto", F.col("_b") + F.col("_u")).drop("_p", "_u", "_b")
+    return inside.withColumns({"upto": F.col("_b") + F.col("_u"), "total": F.lit(total).cast("long")}).drop("_p", "_u", "_b")
 
 
 def style_numeric(features: DataFrame, column: str) -> DataFrame:
