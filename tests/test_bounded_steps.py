@@ -1,6 +1,7 @@
 """Steps whose cost must not grow faster than their input, against brute force on small blocks and odd rows."""
 
 import random
+import time
 
 from tilewright.operators import joins, ordered, payload, profile
 
@@ -53,3 +54,11 @@ def test_ranges_agree_when_branches_merge_partitions(spark):
     finally:
         for c, v in before.items():
             spark.conf.set(c, v)
+
+
+def test_windows_of_many_atoms_in_time():
+    rng, begun = random.Random(8), time.process_time()
+    counts = [rng.randint(1, 3) for _ in range(300_000)]
+    sizes = ordered.split_windows(counts, 50)
+    assert sum(sizes) == len(counts) and min(sizes) > 0
+    assert time.process_time() - begun < 10  # was 3 s for 100 000 atoms, and grew with the square

@@ -98,39 +98,47 @@ def throttle(features: DataFrame, key: str, least_ms: int) -> DataFrame:
     return features.groupBy(key).applyInPandas(keep, features.schema)
 
 
-def split_windows(counts: list[int], target: int) -> list[int]:
+def split_windows(counts: list[int] | np.ndarray, target: int) -> list[int]:
     """Sizes of windows over atoms: as many as the greedy pass makes, with the smallest possible largest window.
 
-    Returns for each window how many atoms it takes.
+    Returns for each window how many atoms it takes. Passes jump by sums, a window at a time, and the windows that
+    the rest needs are counted once, from the end, so the work is that of a sort.
     """
-    k, acc = 1, 0
-    for n in counts:
-        if acc >= target:
-            k, acc = k + 1, 0
-        acc += n
-
-    def needed(cap: int, items: list[int]) -> int:
-        used, total = 1, 0
-        for n in items:
-            if total and total + n > cap:
-                used, total = used + 1, 0
-            total += n
+    counts = np.asarray(counts, np.int64)
+    upto, size = np.concatenate([[0], np.cumsum(counts)]), len(counts)
+    ends = np.searchsorted(upto, upto[:-1] + target, "left")
+    ends = np.maximum(ends, np.arange(size) + 1).tolist()
+    k, at = 1, ends[0] if size else 0
+    while at < size:
+        k, at = k + 1, ends[at]
+
+    def reach(cap: int) -> list[int]:
+        """For each atom where a window that begins with it and holds ``cap`` rows ends."""
+        return np.maximum(np.searchsorted(upto, upto[:-1] + cap, "right") - 1, np.arange(size) + 1).tolist()
+
+    def needed(cap: int) -> int:
+        used, at, sums = 0, 0, upto
+        while at < size:
+            used, at = used + 1, max(int(sums.searchsorted(sums[at] + cap, "right")) - 1, at + 1)
         return used
 
-    low, high = max(counts), sum(counts)
+    low, high = int(counts.max()), int(counts.sum())
     while low < high:
         mid = (low + high) // 2
-        low, high = (low, mid) if needed(mid, counts) <= k else (mid + 1, high)
-    out, at, rest = [], 0, sum(counts)
+        low, high = (low, mid) if needed(mid) <= k else (mid + 1, high)
+    after, tail = reach(low), [0] * (size + 1)  # tail: windows that the atoms from here on need
+    for i in range(size - 1, -1, -1):
+        tail[i] = tail[after[i]] + 1
+    out, at, rest, sizes = [], 0, int(upto[-1]), counts.tolist()
     for left in range(k, 0, -1):
         if left == 1:
-            out.append(len(counts) - at)
+            out.append(size - at)
             break
         aim, total, start = min(-(-rest // left), low), 0, at
-        while at < len(counts) - (left - 1):
-            if at > start and (total + counts[at] > low or total >= aim and needed(low, counts[at:]) <= left - 1):
+        while at < size - (left - 1):
+            if at > start and (total + sizes[at] > low or total >= aim and tail[at] <= left - 1):
                 break
-            total += counts[at]
+            total += sizes[at]
             at += 1
         out.append(at - start)
         rest -= total
@@ -146,7 +154,7 @@ def adaptive_windows(placed: DataFrame, target: int, keys: tuple[str, ...] = ("z
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("start_ms")
-        sizes = split_windows(pdf["n"].tolist(), target)
+        sizes = split_windows(pdf["n"].to_numpy(), target)
         pdf["window"] = np.repeat(np.arange(len(sizes)), sizes)
         return pdf.groupby([*keys, "window"], as_index=False).agg(window_start=("start_ms", "first"), n=("n", "sum"))[[*keys, "window_start", "n"]]
 
