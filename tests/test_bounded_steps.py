@@ -3,7 +3,11 @@
 import random
 import time
 
-from tilewright.operators import joins, ordered, payload, profile
+import numpy as np
+import pytest
+from pyspark.sql import Row
+
+from tilewright.operators import geometry, joins, ordered, payload, profile
 
 
 def test_overlaps_over_several_blocks(spark):
@@ -62,3 +66,21 @@ def test_windows_of_many_atoms_in_time():
     sizes = ordered.split_windows(counts, 50)
     assert sum(sizes) == len(counts) and min(sizes) > 0
     assert time.process_time() - begun < 10  # was 3 s for 100 000 atoms, and grew with the square
+
+
+def test_tracks_come_in_rows_not_whole(spark):
+    rows = [(u, 7 * i % 50, i, float(u or 0) + i % 9, i % 5 * 1.0) for u in (1, 2, None, 3) for i in range(50)]
+    df = spark.createDataFrame(rows, "user_id long, start_ms long, feature_id long, lon double, lat double")
+    tracks = geometry.tracks(df, "user_id")
+    assert tracks.columns == ["user_id", "start_ms", "feature_id", "lon", "lat"]  # no column of all vertices
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got, tiles = sorted(map(str, geometry.simplified(tracks, "user_id", 2.0).collect())), sorted(map(str, geometry.track_tiles(tracks, "user_id", 6).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, want_tiles = [], []
+    for u in (1, 2, None, 3):
+        v = np.array([(r[3], r[4], r[1]) for r in sorted((r for r in rows if r[0] == u), key=lambda r: (r[1], r[2]))], float)
+        want.append(str(Row(user_id=u, n=50, n_timed=len(geometry.simplify_timed(v, 2.0)), n_area=len(geometry.simplify_area(v, 4.0)))))
+        want_tiles += [str(Row(user_id=u, x=x, y=y)) for x, y in geometry.covered_tiles(v, 6)]
+    assert got == sorted(want) and tiles == sorted(want_tiles)
