@@ -68,6 +68,23 @@ def test_windows_of_many_atoms_in_time():
     assert time.process_time() - begun < 10  # was 3 s for 100 000 atoms, and grew with the square
 
 
+def test_rings_clipped_together_as_one_by_one(spark):
+    rng = random.Random(9)
+    rings = [[(rng.uniform(-179, 179), rng.uniform(-80, 80)) for _ in range(rng.randint(3, 6))] for _ in range(40)]
+    rings += [[(170.0, 0.0), (-170.0, 0.0), (-170.0, 9.0), (170.0, 9.0)], [(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 0.0)]]
+    df = spark.createDataFrame([(i, [p[0] for p in r], [p[1] for p in r]) for i, r in enumerate(rings)], "id long, ring_lon array<double>, ring_lat array<double>")
+    want = {}
+    for i, r in enumerate(rings):
+        for ring in geometry.split_polygon(np.array(r)):
+            (x0, y1), (x1, y0) = geometry.tile_of(*ring.min(0), 3), geometry.tile_of(*ring.max(0), 3)
+            for x, y in [(x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)]:
+                part = geometry.clip_ring(ring, geometry.box_of(3, x, y))
+                if len(part) >= 3:
+                    want[i, x, y] = abs(geometry.area(part))
+    got = {(r["id"], r["x"], r["y"]): r["area"] for r in geometry.clipped_boxes(df, 3, 100).collect()}
+    assert got.keys() == want.keys() and got == pytest.approx(want, rel=1e-9, abs=1e-9)
+
+
 def test_tracks_come_in_rows_not_whole(spark):
     rows = [(u, 7 * i % 50, i, float(u or 0) + i % 9, i % 5 * 1.0) for u in (1, 2, None, 3) for i in range(50)]
     df = spark.createDataFrame(rows, "user_id long, start_ms long, feature_id long, lon double, lat double")
